@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontaminate, exact_dedup, packing, simhash
+from quillspark.llm import decontaminate, exact_dedup, packing, quality, simhash
 from quillspark.llm.common import shared_path
 from quillspark.llm.queries import BYTE_TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(COLUMNS)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: that of the largest doc_id."""
     return exact_dedup.keep_one(docs).select(COLUMNS)
@@ -31,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, BYTE_TOKENIZER))
 
 
-STAGES = [("exact dedup", exact), ("SimHash near-dedup", near), ("benchmark decontamination", clean), ("best-fit packing", packed)]
+STAGES = [("quality classifier", good), ("exact dedup", exact), ("SimHash near-dedup", near), ("benchmark decontamination", clean), ("best-fit packing", packed)]
 
 #: Fingerprints, a trained score and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -54,6 +54,16 @@ def positive_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 1)
 
 
+def sample_bound(share: float) -> int:
+    """Hashes up to this one make up ``share`` of all."""
+    return min((1 << 63) - 1, int(min(1.0, share) * (1 << 63)))
+
+
+def hashed_sample(share: float, seed: int, *cols: str) -> Column:
+    """Whether a row is in a sample of about ``share``, picked by a hash of ``cols``."""
+    return positive_hash(F.lit(seed), *cols) <= sample_bound(share)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], rank: str, total: str) -> DataFrame:
     """Rank from 0 within ``keys`` by ``order`` (0 .. 2**63 - 1) and ``ties``; adds the group's size too.
 

@@ -20,6 +20,7 @@ import zlib
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,14 +112,11 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     plan = spark.sparkContext.broadcast((keys[order], steps[order]))
 
     @F.pandas_udf("sequence_id long, offset long")
-    def place(length, rank):
-        import pandas as pd
-
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         keys, steps = plan.value
         length, rank = length.to_numpy(), rank.to_numpy()
         at = steps[np.searchsorted(keys, (length << 44) + rank, side="right") - 1]
         return pd.DataFrame({"sequence_id": at[:, 3] + rank - at[:, 1], "offset": at[:, 4]})
 
-    place.func.__annotations__ = {}
     ranked = rank_within(pieces, ["length"], "_order", [c for c in ("doc_id", "piece") if c in cols], "_rank", "_total")
     return ranked.withColumn("_at", place("length", "_rank")).select(*cols, "_at.sequence_id", "_at.offset")
