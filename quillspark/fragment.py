@@ -75,7 +75,7 @@ class Frag:
 
     def routines(self) -> list:
         """Functions to register before the query, each once, those that others need first."""
-        found = self.collect(lambda p: p.udf if isinstance(p, UdfCall) else p.tvf if isinstance(p, TvfCall) else None)
+        found = self.collect(lambda p: p.udf if isinstance(p, UdfCall) else p.tvf.as_temporary() if isinstance(p, TvfCall) else None)
         return [r for r in dict.fromkeys(found) if r.temporary]
 
     def temporary_functions(self) -> list[Udf]:

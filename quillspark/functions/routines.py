@@ -137,6 +137,9 @@ class Tvf:
         kind = "TEMPORARY FUNCTION" if self.temporary else "FUNCTION"
         return f"CREATE OR REPLACE {kind} {self.sql_name}({params}) RETURNS TABLE ({columns}){comment(self.description)} RETURN {self.query.sql}"
 
+    def as_temporary(self) -> Tvf:
+        return Tvf(self.name, self.params, self.query, self.schema, description=self.description)
+
     def register(self, spark: SparkSession) -> None:
         spark.sql(self.create_sql())
 
@@ -148,4 +151,5 @@ class TvfCall:
 
     @property
     def sql(self) -> str:
-        return _called(self.tvf.sql_name, self.tvf.params, self.args)
+        # Spark takes no database in front of a table function, so a call is of its temporary twin
+        return _called(quote(self.tvf.name), self.tvf.params, self.args)

@@ -74,7 +74,7 @@ def decode(row: Row, to: type | None = None):
     """A row as ``to``: by position into a dataclass or tuple; one column gives its bare value."""
     if to is None:
         return row[0] if len(row) == 1 else row
-    if len(row) == 1 and not dataclasses.is_dataclass(to):
+    if len(row) == 1 and (to is YearMonth or not dataclasses.is_dataclass(to)):
         return _value(row[0], to)
     return _record(tuple(row), to)
 

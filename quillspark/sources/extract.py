@@ -58,7 +58,7 @@ def extract(df: DataFrame, path: str, fmt: Format = JsonLines(), compression: st
         try:
             writer.option("compression", codec).save(path)
         except Exception as e:
-            if "avro" in str(e).lower() and "spark-avro" in str(e).lower() or "DATA_SOURCE_NOT_FOUND" in str(e) or "AVRO" in str(e):
+            if "data source: avro" in str(e):
                 raise QuillError("Spark's Avro package is not on the class path") from e
             raise
         return
