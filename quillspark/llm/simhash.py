@@ -2,14 +2,14 @@
 
 Each text has a 64-bit fingerprint. For a radius r, every bit gets a vector of r + 1
 random bits; each of the 2**(r+1) - 1 non-zero vectors v gives a mask of the bits whose
-vector is orthogonal to v. Any r bits leave some v orthogonal to all of theirs, so two
-fingerprints that differ in at most r bits agree under that mask: no pair is missed.
+vector is not orthogonal to v. Some v is orthogonal to the vectors of any r bits, so two
+fingerprints that differ in at most r bits agree under its mask: no pair is missed.
 
 Tables hold distinct fingerprints. A bucket of bounded size is linked in one task, by a
 spanning forest of its pairs within the radius; a larger one is cut by a further family
-of masks over its remaining bits, which is exact for the same reason, until r or fewer
-bits remain and all its members are linked to the smallest. Components are found by
-alternating large and small stars, on links between fingerprints.
+of masks over its remaining bits, which is exact for the same reason, until so few bits
+remain that their values bound its size. Components are found by alternating large and
+small stars, on links between fingerprints.
 
 A null or empty text has fingerprint zero and is linked like any other. Repeated rows
 share a component. An empty table gives an empty result.
@@ -31,6 +31,8 @@ WORDS = 4
 RADIUS = 4
 #: Fingerprints of one bucket that one task links.
 BUCKET = 8192
+#: A bucket whose members may differ in this many bits alone has at most 2**16 of them.
+FEW_BITS = 16
 _BITS = 64
 
 
@@ -66,14 +68,17 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def covering_masks(bits: list[int], radius: int, seed: int) -> list[int]:
-    """Masks over ``bits`` of which one leaves out any given ``radius`` bits. Signed, as Spark's longs are."""
+    """Masks over ``bits``, none empty, of which one leaves out any given ``radius`` bits. Signed, as Spark's longs are."""
     dim = radius + 1
     rng = random.Random(seed)
-    # balanced: each vector stands for as many bits as any other
-    vectors = [k % (1 << dim) for k in range(len(bits))]
+    # balanced: each non-zero vector stands for as many bits as any other
+    vectors = [1 + k % ((1 << dim) - 1) for k in range(len(bits))]
     rng.shuffle(vectors)
     of = dict(zip(bits, vectors, strict=True))
-    masks = [sum(1 << b for b in bits if (of[b] & v).bit_count() % 2 == 0) for v in range(1, 1 << dim)]
+    masks = [sum(1 << b for b in bits if (of[b] & v).bit_count() % 2) for v in range(1, 1 << dim)]
+    if not all(masks):
+        # too few bits for every vector: of radius + 1 groups of bits, one is left untouched
+        masks = [sum(1 << b for b in bits[k::dim]) for k in range(dim)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
@@ -128,6 +133,11 @@ def _link_buckets(radius: int):
     return linked
 
 
+def _within(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Links within buckets that one task can hold."""
+    return rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_buckets(radius), "a long, b long")
+
+
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed: int = 5) -> DataFrame:
     """Links (a, b) that connect all fingerprints of ``fps`` (column fp, distinct) within the radius."""
     spark = fps.sparkSession
@@ -141,7 +151,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed: int
         large = cut(sizes.select(*keys))
         n_large = large.count()
         small = rows.join(large, keys, "left_anti") if n_large else rows
-        found = small.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_link_buckets(radius), "a long, b long")
+        found = _within(small, keys, radius)
         out = found if out is None else out.unionByName(found)
         if not n_large:
             return out.distinct()
@@ -155,7 +165,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed: int
             for depth, k in enumerate(path):
                 fixed |= masks_of[path[:depth]][k]
             bits = [b for b in range(_BITS) if not fixed >> b & 1]
-            if len(bits) <= radius:
+            if len(bits) <= FEW_BITS:
                 ends.append(path)
             else:
                 masks_of[path] = covering_masks(bits, radius, seed + level + 1)
@@ -163,8 +173,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed: int
         level += 1
         if ends:
             done = held.join(F.broadcast(spark.createDataFrame(ends, ", ".join(f"{n} int" for n in names))), names)
-            stars = done.join(done.groupBy(*keys).agg(F.min("fp").alias("_s")), keys).where("fp > _s").select(F.col("_s").alias("a"), F.col("fp").alias("b"))
-            out = out.unionByName(stars)
+            out = out.unionByName(_within(done, keys, radius))
         if not nexts:
             return out.distinct()
         table = spark.createDataFrame(nexts, ", ".join(f"{n} int" for n in names) + ", _ms array<long>")
