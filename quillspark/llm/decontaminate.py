@@ -42,6 +42,8 @@ class Block:
         windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
         for item, words in items:
             coded = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
+            if not coded:
+                continue
             size = min(window, len(coded))
             for k in range(len(coded) - size + 1):
                 windows.setdefault(size, {}).setdefault(tuple(coded[k : k + size]), set()).add(item)
