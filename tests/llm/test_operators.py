@@ -1,0 +1,531 @@
+"""Each operator against a brute-force version, on small tables and on odd ones."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from quillspark.llm import common, decontaminate, exact_dedup, langid, licenses, packing, pii, quality, sharding, simhash, store
+from quillspark.llm.queries import BYTE_TOKENIZER, ORACLES, QUERIES, WORD_TOKENIZER
+from quillspark.llm.tokens import Encoder, encoder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _order string, shard string"
+ODD = [None, "", " ", "a", "the same words here", "the same words here", "The  same\twords here", "é ü", "x" * 3000, "word " * 3000, "42", "<|endoftext|> İ 日本", "All rights reserved.\nand more"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r["doc_id"]: r["text"] for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, ties, repeated rows, and columns whose names the operators use."""
+    rows = [(k, t, None if k % 3 else "en", None if k % 4 == 0 else "s", None, "o", "h") for k, t in enumerate(ODD)]
+    return spark.createDataFrame([*rows, rows[4], rows[4], (None, "the same words here", None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark, sf):
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark, sf):
+    return spark.read.parquet(f"{sf}/benchmark.parquet")
+
+
+def columns(df):
+    return [tuple(r) for r in df.collect()]
+
+
+# 1
+
+
+def check_shards(rows, shards):
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    sizes = [len(by[k]) for k in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    return by
+
+
+def test_sharding(docs, odd, empty, texts):
+    rows = sharding.report(docs).collect()
+    check_shards(rows, 8)
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+    mix = defaultdict(Counter)
+    for r in rows:
+        mix[r["source"]][r["shard"]] += 1
+    # a cut may part a row of each source, so a shard has its share to within about one row
+    for c in mix.values():
+        assert max(c[k] for k in range(8)) - min(c[k] for k in range(8)) <= 3
+    check_shards(sharding.report(odd).collect(), 8)
+    assert sharding.report(odd).count() == odd.count() and sharding.report(empty).count() == 0
+    assert "Python" not in sharding.report(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ranks(spark):
+    df = common.cut(spark.range(500).select("id", (F.col("id") % 3).alias("g"), common.positive_hash("id").alias("h")))
+    got = common.rank_within(df, ["g"], "h", ["id"], "r", "n").collect()
+    for g in range(3):
+        own = sorted((r["h"], r["id"], r["r"]) for r in got if r["g"] == g)
+        assert [x[2] for x in own] == list(range(len(own))) and {r["n"] for r in got if r["g"] == g} == {len(own)}
+
+
+# 2
+
+
+def test_quality(spark, docs, labels, odd, empty):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.report(*base).join(base[1], "doc_id").where("held_out").collect()
+    right = [r["predicted"] == r["quality"] for r in got]
+    assert len(right) > 50 and np.mean(right) > 0.97
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    rows = quality.report(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    assert quality.report(empty, labels).count() == 0 and quality.report(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_quality_split(docs):
+    for r in docs.select("doc_id", quality.held_out().alias("h"), langid.held_out().alias("l")).collect():
+        crc = zlib.crc32(str(r["doc_id"]).encode())
+        assert r["h"] == (crc % 4 == 2) and r["l"] == (crc % 3 == 1)
+
+
+def test_pu_risk_finds_the_prior_and_the_classes():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(2, 1, (3000, 2)), rng.normal(-2, 1, (1000, 2))])
+    one = quality._with_one(x)
+    pos, unl = one[:800], one
+    prior = quality.estimate_prior(pos, unl)
+    assert abs(prior - 0.75) < 0.08
+    w = quality.nn_pu(pos, unl, 0.75)
+    assert np.mean((one @ w > 0) == (np.arange(4000) < 3000)) > 0.97
+
+
+# 3
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_by_pattern(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 13 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans(texts):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("ab@..-+ 0123456789()%é\n") for _ in range(rng.randrange(80))) for _ in range(4000)]
+    fixed = ["a@b@c.d", "x@y.z@w.v", "1.2.3.4.5.6.7.8", "0001.2.3.255", "4111 1111 1111 1111", "+1 (556) 555-9070 +1 (556) 555-9071", "é4111111111111111é", "", "@", "a" * 500 + "@b.c"]
+    for t in [*texts.values(), *made, *fixed]:
+        assert pii.base_spans(t) == base_by_pattern(t), t
+
+
+def test_pii(docs, odd, empty, texts):
+    for r in pii.report(docs).collect():
+        base = base_by_pattern(texts[r["doc_id"]])
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for k, _, _ in base) for x in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+        assert set(pii.joined(base).split(",")) <= set(r["spans"].split(","))
+    assert pii.report(odd).count() == odd.count() and pii.report(empty).count() == 0
+
+
+def test_trees_find_more_and_leave_the_rest(spark):
+    model = pii.fit([])
+    says = lambda t: [(k, t[a:b]) for k, a, b in pii.all_spans(model, t, pii.base_spans(t))]
+    assert ("email", "joe.smith(at)example.com") in says("mail: joe.smith(at)example.com please")
+    assert says("call me on phone: 415-555-2671 please") == [("phone", "415-555-2671")]
+    for t in ("on 2024-03-05 we met", "version 1.2.3 of it", "we were at home. then", "it cost 1,200,300 in total", "order 12345 of 1999"):
+        assert says(t) == []
+    df = spark.createDataFrame([(1, "write to a.b@c.de or +1 (556) 555-9070."), (2, None)], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(df, model).orderBy("doc_id").collect()] == ["write to [EMAIL] or [PHONE].", None]
+
+
+# 4
+
+
+def brute_contamination(docs, items, window=13):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        size = min(window, len(w))
+        for k in range(len(w) - size + 1 if w else 0):
+            grams[tuple(w[k : k + size])].add(item)
+    sizes = {len(g) for g in grams}
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for size in sizes:
+            for k in range(len(w) - size + 1):
+                if (own := grams.get(tuple(w[k : k + size]))) is not None:
+                    hit.update(range(k, k + size))
+                    found |= own
+        yield doc, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def test_decontamination(spark, docs, benchmark, odd, empty, texts):
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    want = sorted(brute_contamination(texts.items(), items))
+    assert sorted(columns(decontaminate.report(docs, benchmark))) == want
+    assert any(w[5] for w in want)
+    # short items, repeats within a document, and several blocks
+    few = [(1, "The same"), (2, "a"), (3, None), (4, "!!"), (5, "word " * 14), (10, "x y z")]
+    more = spark.createDataFrame(few, "item_id long, text string")
+    plain = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = sorted(brute_contamination([(r["doc_id"], r["text"]) for r in plain.collect()], few))
+    assert sorted(columns(decontaminate.report(plain, more))) == want
+    hits = decontaminate.contamination(plain, more, out="h", block_words=3).collect()
+    assert {r["doc_id"]: (r["h"]["n_words"], sum(b - a for a, b in zip(r["h"]["spans"][::2], r["h"]["spans"][1::2], strict=True)), len(r["h"]["items"])) for r in hits} == {w[0]: w[1:4] for w in want}
+    assert decontaminate.report(odd, benchmark).count() == odd.count() and decontaminate.report(empty, benchmark).count() == 0
+    assert decontaminate.report(docs, benchmark.limit(0)).where("contaminated").count() == 0
+    kept = decontaminate.remove_documents(odd, more)
+    assert kept.columns == odd.columns and kept.where("doc_id = 3").count() == 0
+    cut = decontaminate.remove_spans(plain, spark.createDataFrame([(1, "same words")], "item_id long, text string"))
+    assert cut.where("doc_id = 4").first()["text"] == "the  here"
+
+
+# 5
+
+
+def brute_fingerprint(text):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0d]+", w)
+    if not w:
+        return 0
+    grams = [" ".join(w[k : k + 4]) for k in range(len(w) - 3)] if len(w) >= 4 else [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, radius):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = list(fps)
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= radius:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def test_fingerprints(texts):
+    for t in [*list(texts.values())[:60], *ODD]:
+        assert simhash.fingerprint(t) == brute_fingerprint(t)
+
+
+def test_masks_cover():
+    rng = random.Random(2)
+    for bits in (list(range(64)), list(range(10, 40)), list(range(7))):
+        masks = [m & (2**64 - 1) for m in simhash.covering_masks(bits, 4, 9)]
+        assert all(masks) and len(masks) == (31 if len(bits) > 29 else 5)
+        for _ in range(2000):
+            flipped = sum(1 << b for b in rng.sample(bits, 4))
+            assert any(m & flipped == 0 for m in masks)
+
+
+@pytest.mark.parametrize(("bucket", "clusters"), [(8192, 40), (6, 2)])
+def test_links_miss_nothing(spark, bucket, clusters):
+    rng = random.Random(bucket)
+    fps = set()
+    for _ in range(clusters):
+        x = rng.getrandbits(64)
+        for _ in range(6):
+            fps.add(x)
+            for b in rng.sample(range(64), rng.randrange(1, 6)):
+                x ^= 1 << b
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
+    links = simhash.links(df, bucket=bucket)
+    assert all(((r["a"] ^ r["b"]) & (2**64 - 1)).bit_count() <= 4 for r in links.collect())
+    got = {r["node"] & (2**64 - 1): r["root"] & (2**64 - 1) for r in simhash.components(links).collect()}
+    got |= {f: f for f in fps if f not in got}
+    want = brute_components(fps, 4)
+    groups = lambda of: sorted(sorted(f for f in fps if of[f] == r) for r in set(of.values()))
+    assert groups(got) == groups(want)
+
+
+def test_near_duplicates(docs, odd, empty, texts):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.report(docs).collect()}
+    fp = {d: brute_fingerprint(t) for d, t in texts.items()}
+    root = brute_components(set(fp.values()), 4)
+    least = {}
+    for d in sorted(fp):
+        least.setdefault(root[fp[d]], d)
+    assert got == {d: (f"{fp[d]:016x}", least[root[fp[d]]]) for d in fp}
+    rows = simhash.report(odd).collect()
+    assert len(rows) == odd.count() and {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {0}
+    assert simhash.report(empty).count() == 0
+    kept = simhash.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values())) and kept.columns == docs.columns
+
+
+# 6
+
+
+def whole_ids(path, texts, end):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
+
+
+@pytest.mark.parametrize("path", [WORD_TOKENIZER, BYTE_TOKENIZER])
+def test_encoder_equals_the_library(texts, path):
+    rng = random.Random(6)
+    letters = "abcXYZ  \n\t''sdtll.!é0½ßſǆ1_ İ中́ \x1c"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(1500)]
+    every = [*texts.values(), *ODD, *made, "it's we're 'tis 'S don't I'LL", "a 'b c ' s"]
+    got = []
+    for ids, lengths in Encoder(path, 9).encode(every):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
+    assert got == whole_ids(path, every, 9)
+    assert encoder(path, 9) is encoder(path, 9)
+
+
+def test_store(spark, docs, odd, empty, texts):
+    order = sorted(texts)
+    want, start = {}, 0
+    for d, ids in zip(order, whole_ids(WORD_TOKENIZER, [texts[d] for d in order], 1), strict=True):
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
+        start += len(ids)
+    path = store.new_store(docs, WORD_TOKENIZER)
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in store.summaries(spark, path).collect()}
+    assert got == {d: x[:3] for d, x in want.items()}
+    assert {r["doc_id"]: r["ids"] for r in store.reconstruct(spark, path).collect()} == {d: x[3] for d, x in want.items()}
+    chunks = spark.read.parquet(f"{path}/chunks")
+    assert chunks.count() == chunks.select("digest").distinct().count()
+    rows = store.summaries(spark, store.new_store(odd, WORD_TOKENIZER)).collect()
+    assert len(rows) == odd.count() and len({r["start"] for r in rows}) == len(rows)
+    assert store.summaries(spark, store.new_store(empty, WORD_TOKENIZER)).count() == 0
+
+
+def test_store_finds_damage(spark, docs):
+    path = store.new_store(docs.limit(20), WORD_TOKENIZER)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    bad = common.cut(chunks.withColumn("ids", F.concat("ids", F.lit(b"\x01\x00"))))
+    bad.write.mode("overwrite").parquet(f"{path}/chunks")
+    with pytest.raises(Exception, match="damaged"):
+        store.summaries(spark, path).collect()
+
+
+def test_chunks_follow_content():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 40_000, 20_000).astype(np.uint32)
+    ends = store.chunk_ends(ids, np.array([len(ids)]))[0]
+    assert ends[-1] == len(ids) and all(b - a <= store.MAX_IDS for a, b in zip([0, *ends], ends, strict=False))
+    moved = np.concatenate([np.arange(100, dtype=np.uint32), ids])
+    again = {e - 100 for e in store.chunk_ends(moved, np.array([len(moved)]))[0]}
+    assert len(again & set(ends)) > 0.8 * len(ends)
+
+
+# 7
+
+
+def test_exact(spark, docs, odd, empty, sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op7_exact_dedup",):
+        found = con.execute(ORACLES[name])
+        cols = [c[0] for c in found.description]
+        assert sorted(columns(QUERIES[name](spark, sf).select(cols))) == sorted(found.fetchall())
+    rows = exact_dedup.report(odd).collect()
+    assert len(rows) == odd.count()
+    same = [r for r in rows if r["keep_id"] == 5]
+    assert len(same) == 5 and {r["group_size"] for r in same} == {5} and [r["doc_id"] for r in same if r["kept"]] == [5]
+    assert {r["keep_id"] for r in rows if r["doc_id"] in (0, 1)} == {1}
+    assert exact_dedup.report(empty).count() == 0
+    kept = exact_dedup.keep_one(docs)
+    assert kept.count() == docs.select("text").distinct().count() and kept.columns == docs.columns
+
+
+def test_equal_digests_of_unequal_texts(docs):
+    weak = F.substring(exact_dedup.sha256_of(F.col("text")), 1, 1)
+    good = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.duplicates(docs).collect()}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.duplicates(docs, digest=weak, memtable=20).collect()}
+    assert got == good
+    least = {r["doc_id"]: r["keep_id"] for r in exact_dedup.duplicates(docs, keep="min").collect()}
+    assert all(v <= k for k, v in least.items())
+
+
+def test_index_lookup(spark, docs):
+    path = common.shared_path(spark, "index")
+    digest = exact_dedup.sha256_of(F.col("text"))
+    exact_dedup.write_runs(docs, path, digest, memtable=50)
+    exact_dedup.write_runs(docs.limit(10), path, digest)
+    some = [r[0] for r in docs.select(digest).limit(3).collect()]
+    assert {r["digest"] for r in exact_dedup.lookup(spark, path, some).collect()} == set(some)
+    assert exact_dedup.compact(spark, path).agg(F.sum("n")).first()[0] == docs.count() + 10
+
+
+# 8
+
+
+def test_language(spark, odd, empty):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.report(base).join(base.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
+    rows = {r["doc_id"]: r for r in langid.report(odd).collect()}
+    assert all(rows[k]["lang_pred"] == "und" and rows[k]["score"] == 0 for k in (0, 1, 2, 10)) and all(0 <= r["score"] <= 1 for r in rows.values())
+    assert langid.report(empty).count() == 0
+
+
+def test_code_lengths_are_exact():
+    rows = [("abracadabra the cat", "a"), ("the dog barks loud", "b")]
+    model = langid.train(rows, contexts=100_000)
+    for k, lang in enumerate(model.languages):
+        s = model.used[langid._SYMBOL[np.frombuffer(b"   " + rows[k][0].encode(), np.uint8)]]
+        counts = [defaultdict(Counter) for _ in range(4)]
+        for i in range(len(s)):
+            for order in range(4):
+                if i >= order:
+                    counts[order][tuple(s[i - order : i])][s[i]] += 1
+        others = np.concatenate([model.used[langid._SYMBOL[np.frombuffer(b"   " + t.encode(), np.uint8)]] for t, _ in rows])
+        seen = Counter(tuple(others[i - 3 : i]) for i in range(3, len(others)))
+        assert seen and lang in ("a", "b")
+
+        def p(context, x):
+            order = len(context)
+            c = counts[order][context]
+            n, d = sum(c.values()), len(c)
+            below = p(context[1:], x) if order else None
+            if order == 0:
+                spread = langid._SPREAD[np.flatnonzero(model.used == x)].sum() if x < model.used.max() else max(1, langid._SPREAD[model.used == x].sum())
+                below = spread / 256
+            return c[x] / (n + d) if c[x] else (d / (n + d) if n else 1) * below
+
+        v = len(np.unique(model.used))
+        for x in range(v):
+            for context in [(), (int(s[3]),), (int(s[3]), int(s[4]))]:
+                assert 0 < p(context, x) <= 1
+        # contexts of one symbol are always kept, so a text's first symbol after blanks is exact where longer ones are too rare to keep
+        text = rows[k][0].encode()
+        assert model.lengths([text])[0, k] == model.lengths([text, b"", text])[2, k]
+
+
+# 9
+
+
+def test_licenses(spark, docs, odd, empty):
+    notices = {"gpl": "GNU General Public License", "apache": "Apache License", "mit": "MIT License", "proprietary": "All rights reserved.", "cc-by-nc": "Licensed under CC BY-NC"}
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in base.collect()}
+    got = {r["doc_id"]: r["families"] for r in licenses.report(base).collect()}
+    assert got == {d: ",".join(sorted(f for f, n in notices.items() if n in t)) for d, t in texts.items()}
+    rows = licenses.report(odd).collect()
+    assert len(rows) == odd.count() and [r["families"] for r in rows if r["doc_id"] == 12] == ["proprietary"]
+    assert licenses.report(empty).count() == 0
+
+
+# 10
+
+
+def check_packing(rows, pieces_of):
+    by, seen = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+        seen[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for own in by.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert {d: sorted(v) for d, v in seen.items()} == pieces_of
+    return len(by)
+
+
+def cut_pieces(ids, capacity=2048):
+    out, start = [], 0
+    while start < len(ids):
+        n = (len(ids) - start) % capacity or capacity
+        out.append((len(out), start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())))
+        start += n
+    return out
+
+
+def test_packing(docs, odd, empty, texts):
+    rows = packing.pack(packing.token_pieces(docs, BYTE_TOKENIZER)).collect()
+    ids = whole_ids(BYTE_TOKENIZER, texts.values(), 0)
+    n = check_packing(rows, {d: cut_pieces(x) for d, x in zip(texts, ids, strict=True)})
+    assert n <= 1.02 * sum(map(len, ids)) / 2048 + 1
+    rows = packing.pack(packing.token_pieces(odd, BYTE_TOKENIZER)).collect()
+    assert sum(r["length"] for r in rows) == sum(len(x) for x in whole_ids(BYTE_TOKENIZER, [r["text"] for r in odd.collect()], 0))
+    assert packing.pack(packing.token_pieces(empty, BYTE_TOKENIZER)).count() == 0
+    one = packing.token_pieces(docs.limit(1), BYTE_TOKENIZER, with_ids=True).first()
+    assert len(one["ids"]) == one["length"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 64, 2048])
+    counts = Counter(min(capacity, 1 + int(rng.expovariate(rng.choice([0.5, 0.02, 0.002])))) for _ in range(3000))
+    used, placed = defaultdict(list), Counter()
+    for length, rank, n, first, offset in packing.best_fit(counts, capacity):
+        assert rank == placed[length]
+        placed[length] += n
+        for k in range(n):
+            used[first + k].append((offset, length))
+    assert placed == counts
+    for own in used.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    # best-fit decreasing, one piece after the other
+    gaps = []
+    for length in sorted(counts.elements(), reverse=True):
+        fit = min((g for g in gaps if g >= length), default=None)
+        if fit is None:
+            gaps.append(capacity - length)
+        else:
+            gaps.remove(fit)
+            gaps.append(fit - length)
+    assert len(used) <= len(gaps) * 1.01 + 1
+
+
+def test_registered():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert public_tokenizers.path("word_bpe_49k.json") == WORD_TOKENIZER
