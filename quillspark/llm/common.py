@@ -64,6 +64,17 @@ def hashed_sample(share: float, seed: int, *cols: str) -> Column:
     return positive_hash(F.lit(seed), *cols) <= sample_bound(share)
 
 
+#: Ids that are sent to all executors at once, at most; more are joined by a shuffle.
+SENT_IDS = 2_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows of some doc_ids. Texts stay where they are while the ids are few."""
+    gone = cut(gone.select("doc_id").distinct())
+    few = gone.count() <= SENT_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], rank: str, total: str) -> DataFrame:
     """Rank from 0 within ``keys`` by ``order`` (0 .. 2**63 - 1) and ``ties``; adds the group's size too.
 

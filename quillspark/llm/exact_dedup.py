@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, shared_path
+from quillspark.llm.common import cut, shared_path, without_ids
 
 #: Distinct digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
@@ -126,5 +126,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, keep: str = "max") -> DataFrame:
     """``docs`` with one document of each group of equal texts."""
-    gone = duplicates(docs, keep).where("doc_id <> keep_id").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = duplicates(docs, keep).where("doc_id <> keep_id")
+    return without_ids(docs, gone)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, text_batches
+from quillspark.llm.common import cut, text_batches, without_ids
 
 WORDS = 4
 RADIUS = 4
@@ -219,5 +219,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id."""
-    gone = near_duplicates(docs, words, radius).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(cut(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = near_duplicates(docs, words, radius).where("doc_id > component_id")
+    return without_ids(docs, gone)
