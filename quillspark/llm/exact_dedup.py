@@ -14,17 +14,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, shared_path, without_ids
+from quillspark.llm.filters import may_repeat
 
 #: Distinct digests that a memtable holds before it is flushed.
 MEMTABLE = 200_000
-#: Bits of the filter of repeated digests, at most.
-FILTER_BITS = 1 << 27
 #: Stands for a missing doc_id in a run: it is kept last.
 _NO_ID = {"max": -(1 << 63), "min": (1 << 63) - 1}
 _RUN = "run long, digest string, keep long, n long"
@@ -70,23 +68,6 @@ def lookup(spark: SparkSession, path: str, digests: list[str]) -> DataFrame:
     return spark.read.parquet(path).where(F.col("digest").isin(digests))
 
 
-def _bits_of(digest: Column, bits: int) -> Column:
-    """Two positions in the filter."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(k), digest), F.lit(bits)) for k in (1, 2)])
-
-
-def repeated_filter(index: DataFrame, most: int = FILTER_BITS) -> tuple[np.ndarray, int]:
-    """A Bloom filter over the digests that occur twice, of at most ``most`` bits."""
-    twice = index.where("n > 1").select("digest")
-    bits = min(most, 1 << max(10, int(twice.count()) * 16 - 1).bit_length())
-    words = twice.select(F.explode(_bits_of(F.col("digest"), bits)).alias("b"))
-    words = words.groupBy(F.expr("b div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("x"))
-    table = np.zeros(bits // 32, dtype=np.uint32)
-    for row in words.toLocalIterator():  # bounded by the size of the filter
-        table[row["w"]] = row["x"]
-    return table, bits
-
-
 def duplicates(docs: DataFrame, keep: str = "max", digest: Column | None = None, memtable: int = MEMTABLE) -> DataFrame:
     """(doc_id, digest, keep_id, group_size) of each row. ``digest``: SHA-256 of the text, unless given."""
     spark = docs.sparkSession
@@ -94,17 +75,10 @@ def duplicates(docs: DataFrame, keep: str = "max", digest: Column | None = None,
     path = shared_path(spark, "digest-index")
     write_runs(docs, path, digest, keep, memtable)
     index = cut(compact(spark, path, keep))
-    table, bits = repeated_filter(index)
-    sent = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def may_repeat(where: pd.Series) -> pd.Series:
-        at = np.array(where.tolist(), dtype=np.int64).reshape(-1, 2)
-        return pd.Series((sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(axis=1))
-
+    repeats = may_repeat(index)
     best = {"max": F.max, "min": F.min}[keep]
     marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), digest.alias("digest"))
-    hits = marked.where(may_repeat(_bits_of(F.col("digest"), bits)))
+    hits = marked.where(repeats(F.col("digest")))
     # equal in bytes: grouped by the text itself, combined before the shuffle
     equal = hits.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = cut(equal.drop("text"))

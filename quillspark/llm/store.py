@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import shared_path, text_batches
+from quillspark.llm.common import cut, shared_path, text_batches
+from quillspark.llm.filters import may_repeat
 from quillspark.llm.tokens import encoder
 
 MIN_IDS, MAX_IDS, MEAN_BITS, WINDOW = 64, 1024, 8, 8
@@ -76,33 +77,41 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wid
                 if len(ids) and int(ids.max()) >= 1 << 8 * width:
                     raise ValueError(f"an id does not fit in {width} bytes")
                 raw = memoryview(ids.astype(kind).tobytes())
-                all_digests, all_chunks, first = [], [], 0
+                all_digests, all_fresh, all_chunks, first = [], [], [], 0
                 for ends in chunk_ends(ids, lengths):
-                    digests, chunks = [], []
+                    digests, fresh, chunks = [], [], []
                     for end in ends:
                         chunk = raw[width * first : width * end]
                         digest = hashlib.sha256(chunk).digest()
                         digests.append(digest)
-                        chunks.append(None if digest in seen else bytes(chunk))
-                        seen.add(digest)
+                        if digest not in seen:
+                            seen.add(digest)
+                            fresh.append(digest)
+                            chunks.append(bytes(chunk))
                         first = end
                     all_digests.append(digests)
+                    all_fresh.append(fresh)
                     all_chunks.append(chunks)
                 if len(seen) > _RECENT:
                     seen.clear()
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids[at : at + n], pa.int64()), pa.array(lengths, pa.int64()), pa.array(all_digests, pa.list_(pa.binary())), pa.array(all_chunks, pa.list_(pa.binary())), pa.array([merkle(x) for x in all_digests], pa.binary())],
-                    ["doc_id", "n_tokens", "digests", "chunks", "root"],
+                    [pa.array(doc_ids[at : at + n], pa.int64()), pa.array(lengths, pa.int64()), pa.array(all_digests, pa.list_(pa.binary())), pa.array(all_fresh, pa.list_(pa.binary())), pa.array(all_chunks, pa.list_(pa.binary())), pa.array([merkle(x) for x in all_digests], pa.binary())],
+                    ["doc_id", "n_tokens", "digests", "fresh", "chunks", "root"],
                 )
                 at += n
 
     staged = f"{path}/staged"
-    rows = docs.select("doc_id", "text").mapInArrow(chunked, "doc_id long, n_tokens long, digests array<binary>, chunks array<binary>, root binary")
+    rows = docs.select("doc_id", "text").mapInArrow(chunked, "doc_id long, n_tokens long, digests array<binary>, fresh array<binary>, chunks array<binary>, root binary")
     rows.write.option("compression", "zstd").parquet(staged)
     rows = spark.read.parquet(staged)
-    chunks = rows.select(F.explode(F.arrays_zip("digests", "chunks")).alias("x")).select("x.digests", "x.chunks").where("chunks IS NOT NULL")
-    chunks.groupBy(F.col("digests").alias("digest")).agg(F.first("chunks").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # only chunks that several tasks may have handed on are shuffled
+    index = cut(rows.select(F.explode("fresh").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
+    repeats = may_repeat(index)
+    chunks = rows.select(F.explode(F.arrays_zip("fresh", "chunks")).alias("x")).select(F.col("x.fresh").alias("digest"), F.col("x.chunks").alias("ids"))
+    chunks.where(~repeats(F.col("digest"))).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    several = chunks.where(repeats(F.col("digest"))).groupBy("digest").agg(F.first("ids").alias("ids"))
+    several.write.mode("append").option("compression", "zstd").parquet(f"{path}/chunks")
     recipes = rows.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
     recipes.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     written = spark.read.parquet(f"{path}/recipes")
