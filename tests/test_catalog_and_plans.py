@@ -196,6 +196,14 @@ def test_analysis(spark):
         sql = "WITH x AS (SELECT d, count_if(b IS NULL) AS n FROM declared_orders GROUP BY 1) SELECT d, n, array(n) AS ns FROM x"
         assert [(f.name, f.type, f.mode) for f in analysis.output_fields(spark, sql)] == [("d", Type.DATE, Mode.NULLABLE), ("n", Type.INT64, Mode.NULLABLE), ("ns", Type.INT64, Mode.REPEATED)]
         assert analysis.referenced_names(spark, sql) == ["declared_orders"]
+        assert analysis.describe(spark, sql) == analysis.Described(True, ("x",), False)
+        two = "SELECT a.b FROM declared_orders a JOIN (SELECT max(b) AS m FROM declared_orders) y ON a.b = y.m WHERE a.b IN (SELECT b FROM declared_orders)"
+        f = analysis.fragment_of(spark, two, {"declared_orders": t})
+        assert f.tables() == [t] and f.run(spark).columns == ["b"] and sum(p is t for p in f.parts) == 3
+        day = Table(t.id, Day("d"), t.schema)
+        pruned = analysis.fragment_of(spark, sql, {"declared_orders": [day.partition(D)]})
+        assert pruned.partitions() == [day.partition(D)] and pruned.run(spark).count() == 0
+    assert analysis.describe(spark, "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT * FROM r").recursive
     assert not analysis.is_query(spark, "DROP TABLE x") and not analysis.is_query(spark, "INSERT INTO a SELECT 1") and analysis.is_query(spark, "SELECT 1")
 
 

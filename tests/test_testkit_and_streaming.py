@@ -9,7 +9,7 @@ from quillspark.errors import SchemaMismatch
 from quillspark.functions.routines import Param, Tvf, Udf
 from quillspark.streaming.fills import Progress, fill_stream, windowed_counts
 from quillspark.tables import FilledTable
-from quillspark.testkit.checks import Check, check_fill, check_query, check_tvf, check_type, check_udf, check_view, example_row, golden
+from quillspark.testkit.checks import Check, check_fails, check_fill, check_query, check_tvf, check_type, check_udf, check_view, example_row, golden
 from quillspark.types import TypeOf
 
 USERS = Table(TableId.of("my-project", "ds", "users"), schema=Schema.of(Field("user_id", Type.STRING, Mode.REQUIRED), Field.struct("names", Field("first", Type.STRING, Mode.REQUIRED), Field("middle", Type.STRING))))
@@ -44,6 +44,12 @@ def test_functions(spark):
     check_tvf(spark, Tvf("kit_tvf", (Param("x", LONG),), frag("SELECT x AS a"), Schema.of(Field("a", Type.INT64))), 1)
 
 
+def test_failing_queries(spark):
+    assert "nowhere" in check_fails(spark, frag("SELECT nowhere FROM {l}", l=LOG.whole_table))
+    with pytest.raises(AssertionError):
+        check_fails(spark, frag("SELECT n FROM {l}", l=LOG.whole_table))
+
+
 def test_golden(tmp_path):
     path = tmp_path / "a" / "q.sql"
     golden(path, "SELECT 1")
