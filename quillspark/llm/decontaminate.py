@@ -24,7 +24,7 @@ from quillspark.llm.common import text_batches
 
 WINDOW = 13
 #: Words of test items in one broadcast block.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 300_000
 _KEEP = bytes(c if chr(c).isdigit() or 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _BASE = np.uint64(0x100000001B3)
 _RESULT = "n_words long, spans array<long>, items array<long>"

@@ -33,6 +33,8 @@ ORDER = 3
 ROWS, ALL_ROWS = 500, 4000
 #: Contexts in the compiled table, over all languages.
 CONTEXTS = 12_000
+#: Cells of that table, at most: contexts by symbols by languages.
+CELLS = 16_000_000
 _PART = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -62,27 +64,32 @@ class Model:
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text by language."""
         out = np.zeros((len(texts), len(self.languages)))
-        v = len(np.unique(self.used))
-        size, part = 0, []
-        for k, text in enumerate([*texts, None]):
-            if text is not None:
-                part.append(k)
-                size += len(text)
-            if part and (text is None or size >= _PART):
-                # blanks before each text are its first contexts
-                raw = np.frombuffer((b" " * ORDER).join([b"", *[texts[j] for j in part]]), dtype=np.uint8)
-                s = self.used[_SYMBOL[raw]]
-                context = np.zeros(len(s) - ORDER, dtype=np.int64)
-                for j in range(ORDER):
-                    context = context * v + s[j : len(s) - ORDER + j]
-                cost = self.bits[self.node[context].astype(np.int64) * v + s[ORDER:]]
-                n = np.array([len(texts[j]) for j in part])
-                ends = np.cumsum(n + ORDER) - ORDER
-                sums = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
-                out[part] = sums[ends] - sums[ends - n]
-                size, part = 0, []
+        v, size = int(self.used.max()) + 1, 0
+        part: list[tuple[int, bytes]] = []
+        for k, text in enumerate(texts):
+            # blanks before a text are its first contexts; a long one goes in pieces, each after the end of the last
+            whole = b" " * ORDER + text
+            for a in range(0, len(text), _PART):
+                part.append((k, whole[a : a + _PART + ORDER]))
+                size += len(part[-1][1])
+                if size >= _PART:
+                    self._add(out, part, v)
+                    part, size = [], 0
+        if part:
+            self._add(out, part, v)
         return out
 
+    def _add(self, out: np.ndarray, part: list[tuple[int, bytes]], v: int) -> None:
+        s = self.used[_SYMBOL[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]]
+        context = np.zeros(len(s) - ORDER, dtype=np.int64)
+        for j in range(ORDER):
+            context = context * v + s[j : len(s) - ORDER + j]
+        cost = self.bits[self.node[context].astype(np.int64) * v + s[ORDER:]]
+        ends = np.cumsum([len(raw) for _, raw in part]) - ORDER
+        sums = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
+        begins = np.concatenate([[0], ends[:-1] + ORDER])
+        np.add.at(out, [k for k, _ in part], sums[ends] - sums[begins])
+
 
 def train(rows: list[tuple[str, str]], contexts: int = CONTEXTS) -> Model:
     """``rows``: (text, language)."""
@@ -110,7 +117,7 @@ def train(rows: list[tuple[str, str]], contexts: int = CONTEXTS) -> Model:
     # the contexts seen most, all languages together, longer ones only below a kept shorter one
     table, rows_of = np.zeros((1, v, len(languages))), [np.zeros(1, dtype=np.int64)]
     before = np.broadcast_to((spread / 256)[None, :, None], (1, v, len(languages)))
-    left = contexts
+    left = max(1 + v, min(contexts, CELLS // (v * len(languages))))
     for order in range(ORDER + 1):
         total = np.zeros(v**order, dtype=np.int64)
         for codes, n in counts[order].values():
@@ -139,7 +146,6 @@ def train(rows: list[tuple[str, str]], contexts: int = CONTEXTS) -> Model:
             where[own] = len(table) + np.arange(len(own))
             table = np.concatenate([table, prob])
         rows_of.append(where)
-    # a symbol that stands for several bytes costs what tells them apart as well; it is the same for all languages
     bits = -np.log2(np.maximum(table, 1e-12)).reshape(-1, len(languages)).astype(np.float32)
     return Model(languages, used, rows_of[-1].astype(np.int32), bits)
 
@@ -158,7 +164,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 def held_out() -> Column:
     """Rows whose language is not learned."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def train_on(docs: DataFrame, rows: int = ROWS, all_rows: int = ALL_ROWS) -> Model:

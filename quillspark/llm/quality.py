@@ -163,7 +163,7 @@ def fit(x: np.ndarray, label: np.ndarray) -> Model:
 
 def held_out() -> Column:
     """Rows whose label is not learned."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def _described(docs: DataFrame, extra: str = "") -> DataFrame:

@@ -20,6 +20,7 @@ import numpy as np
 _PLAIN_BELOW = 0x250
 _NOT_PLAIN = re.compile("[^\x00-įı-ɏ]")
 _CONTRACTION = re.compile("'(?:[sdmt]|re|ve|ll)")
+_BETWEEN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _CACHED_WORDS = 2_000_000
 _PART_CHARS = 2_000_000
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
@@ -135,7 +136,8 @@ class Encoder:
             self.keys, self.word = keys[order], word[order]
         return number[back]
 
-    def _some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _some(self, texts: list[str], closed: list[bool]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of each text, with the end id where it is closed, and their counts."""
         plain, whole = [], {}
         for k, text in enumerate(texts):
             low = text.lower() if self.lower else text
@@ -156,27 +158,62 @@ class Encoder:
             total = np.cumsum(size)
             ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(at - (total - size), size)]
             marks = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], text_ends]))]
-        pieces, end, n = [], np.array([self.end_id], dtype=np.uint32), 0
+        pieces, counts, end, n = [], [], np.array([self.end_id], dtype=np.uint32), 0
         for k in range(len(texts)):
             if k in whole:
-                pieces += [whole[k], end]
+                own = whole[k]
             else:
-                pieces += [ids[marks[n] : marks[n + 1]], end]
+                own = ids[marks[n] : marks[n + 1]]
                 n += 1
-        lengths = np.array([len(x) for x in pieces[::2]], dtype=np.int64) + 1
-        return np.concatenate(pieces), lengths
+            pieces += [own, end] if closed[k] else [own]
+            counts.append(len(own) + closed[k])
+        return pieces, counts
 
     def encode(self, texts: list[str | None]):
         """Yield (ids, lengths) of runs of texts, in order; a missing text is empty."""
-        part, size = [], 0
+        done: tuple[list, list, list] = ([], [], [])  # ids, counts and whether a text ends there
+        part, closed, size = [], [], 0
+
+        def flush() -> None:
+            pieces, counts = self._some(part, closed)
+            done[0].extend(pieces)
+            done[1].extend(counts)
+            done[2].extend(closed)
+            part.clear()
+            closed.clear()
+
+        def taken() -> tuple[np.ndarray, np.ndarray]:
+            ends = np.flatnonzero(done[2])
+            sums = np.concatenate([[0], np.cumsum(done[1])])[np.concatenate([[0], ends + 1])]
+            out = np.concatenate(done[0]), np.diff(sums)
+            for x in done:
+                x.clear()
+            return out
+
         for text in texts:
-            part.append(text or "")
-            size += len(part[-1])
-            if size >= _PART_CHARS:
-                yield self._some(part)
-                part, size = [], 0
+            segments = _segments(text or "")
+            for k, segment in enumerate(segments):
+                part.append(segment)
+                closed.append(k + 1 == len(segments))
+                size += len(segment)
+                if size >= _PART_CHARS:
+                    flush()
+                    size = 0
+            if not part:
+                yield taken()
         if part:
-            yield self._some(part)
+            flush()
+        if done[0]:
+            yield taken()
+
+
+def _segments(text: str, most: int | None = None) -> list[str]:
+    """A long text, cut before blanks at which any of the tokenizers begins a new word."""
+    out, most = [], most or _PART_CHARS
+    while len(text) > most and (m := _BETWEEN.search(text, most)):
+        out.append(text[: m.start()])
+        text = text[m.start() :]
+    return [*out, text]
 
 
 def encoder(path: str, end_id: int) -> Encoder:

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import common, decontaminate, exact_dedup, langid, licenses, packing, pii, quality, sharding, simhash, store
+from quillspark.llm import common, decontaminate, exact_dedup, langid, licenses, packing, pii, quality, sharding, simhash, store, tokens
 from quillspark.llm.queries import BYTE_TOKENIZER, ORACLES, QUERIES, WORD_TOKENIZER
 from quillspark.llm.tokens import Encoder, encoder
 
@@ -320,6 +320,16 @@ def test_encoder_equals_the_library(texts, path):
     for ids, lengths in Encoder(path, 9).encode(every):
         got += [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])]
     assert got == whole_ids(path, every, 9)
+    tokens._PART_CHARS, kept = 50, tokens._PART_CHARS
+    try:
+        assert tokens._segments("ab cd " * 30, 50)[1].startswith(" ")
+        own = [x for k in range(0, len(every), 40) for ids, n in Encoder(path, 9).encode(every[k : k + 40]) for x in np.split(ids, np.cumsum(n)[:-1])]
+    finally:
+        tokens._PART_CHARS = kept
+    assert [x.tolist() for x in own] == got
+    long = "The quick brown fox, it's été 42 times.\n" * 120_000
+    ids, n = next(Encoder(path, 9).encode([long]))
+    assert len(tokens._segments(long)) > 2 and n.tolist() == [len(ids)] and ids.tolist() == whole_ids(path, [long], 9)[0]
     assert encoder(path, 9) is encoder(path, 9)
 
 
@@ -411,7 +421,7 @@ def test_language(spark, odd, empty):
 
 
 def test_code_lengths_are_exact():
-    rows = [("abracadabra the cat", "a"), ("the dog barks loud", "b")]
+    rows = [("abracadabra the cat " * 12, "a"), ("the dog barks loud, the cat is there " * 9, "b")]
     model = langid.train(rows, contexts=100_000)
     for k, lang in enumerate(model.languages):
         s = model.used[langid._SYMBOL[np.frombuffer(b"   " + rows[k][0].encode(), np.uint8)]]
@@ -420,10 +430,6 @@ def test_code_lengths_are_exact():
             for order in range(4):
                 if i >= order:
                     counts[order][tuple(s[i - order : i])][s[i]] += 1
-        others = np.concatenate([model.used[langid._SYMBOL[np.frombuffer(b"   " + t.encode(), np.uint8)]] for t, _ in rows])
-        seen = Counter(tuple(others[i - 3 : i]) for i in range(3, len(others)))
-        assert seen and lang in ("a", "b")
-
         def p(context, x):
             order = len(context)
             c = counts[order][context]
@@ -434,13 +440,22 @@ def test_code_lengths_are_exact():
                 below = spread / 256
             return c[x] / (n + d) if c[x] else (d / (n + d) if n else 1) * below
 
-        v = len(np.unique(model.used))
-        for x in range(v):
-            for context in [(), (int(s[3]),), (int(s[3]), int(s[4]))]:
-                assert 0 < p(context, x) <= 1
-        # contexts of one symbol are always kept, so a text's first symbol after blanks is exact where longer ones are too rare to keep
+        streams = [model.used[langid._SYMBOL[np.frombuffer(b"   " + t.encode(), np.uint8)]] for t, _ in rows]
+
+        def often(context):
+            o = len(context)
+            return sum(tuple(x[i - o : i]) == context for x in streams for i in range(o, len(x)))
+
+        def longest(i):
+            return next(c for c in (tuple(s[i - o : i]) for o in (3, 2, 1)) if len(c) < 2 or often(c) >= 8)
+
+        want = -sum(np.log2(p(longest(i), s[i])) for i in range(3, len(s)))
+        assert lang == rows[k][1] and np.isclose(model.lengths([rows[k][0].encode()])[0, k], want, rtol=1e-4)
         text = rows[k][0].encode()
-        assert model.lengths([text])[0, k] == model.lengths([text, b"", text])[2, k]
+        langid._PART, kept = 7, langid._PART
+        pieces = model.lengths([text, b"", text])
+        langid._PART = kept
+        assert np.allclose(pieces[2], model.lengths([text])[0]) and np.allclose(pieces[0], pieces[2]) and not pieces[1].any()
 
 
 # 9
