@@ -62,9 +62,9 @@ def upsert(source: DataFrame, target: DataFrame, keys: list[str], scheme: Scheme
     if prune and scheme is not None and (values := source_partitions(source, scheme)) is not None:
         target = target.where(in_partitions(scheme.column, values))
     cols = target.columns
-    s, t = source.withColumn("_matched", F.lit(True)).alias("s"), target.alias("t")
+    s, t = source.withColumn("__quill_matched", F.lit(True)).alias("s"), target.alias("t")
     on = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys])
     values = [c for c in cols if c not in keys]
-    kept = t.join(s, on, "left").select(*[F.when(F.col("s._matched"), F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) if c in values else F.col(f"t.`{c}`") for c in cols])
+    kept = t.join(s, on, "left").select(*[F.when(F.col("s.__quill_matched"), F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) if c in values else F.col(f"t.`{c}`") for c in cols])
     added = s.join(t, on, "left_anti").select(*cols)
     return kept.union(added)

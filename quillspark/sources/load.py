@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 from collections.abc import Iterable
+from contextlib import contextmanager
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import QuillError, RequiredNull, SchemaMismatch
@@ -38,13 +40,39 @@ def align(df: DataFrame, schema: Schema) -> DataFrame:
     return df.select(*cols)
 
 
-def check_required(df: DataFrame, schema: Schema) -> None:
-    """Raise where a required column holds a null."""
-    required = [f.name for f in schema if f.mode is Mode.REQUIRED]
-    if required:
-        found = df.agg(*[F.count_if(F.col(quote(c)).isNull()).alias(c) for c in required]).first()
-        if bad := [c for c in required if found[c]]:
-            raise RequiredNull(f"nulls in {', '.join(bad)}")
+_MARK = "quillspark:"
+
+
+def guarded(df: DataFrame, schema: Schema, partition: PartitionId | None = None) -> DataFrame:
+    """``df`` that fails while it is written, in the same pass, on a null in a required column or a row of another partition."""
+
+    def stop(kind: str, what: str) -> Column:
+        return F.raise_error(F.lit(f"{_MARK}{kind}:{what};"))
+
+    cols = []
+    for f in schema:
+        c = F.col(quote(f.name))
+        if f.mode is Mode.REQUIRED:
+            c = F.when(c.isNull(), stop("null", f.name)).otherwise(c)
+        if partition and f.name == partition.scheme.column:
+            inside = F.coalesce(partition.scheme.predicate(partition.value), F.lit(False))
+            c = F.when(~inside, stop("outside", str(partition.table_id))).otherwise(c)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
+
+
+@contextmanager
+def _told():
+    """What a guard says, as an error of ours."""
+    try:
+        yield
+    except Exception as e:
+        found = re.search(rf"{_MARK}(null|outside):([^;]*);", str(e))
+        if found is None:
+            raise
+        if found[1] == "null":
+            raise RequiredNull(f"nulls in {found[2]}") from e
+        raise QuillError(f"rows outside of the partition {found[2]}") from e
 
 
 def write(df: DataFrame, destination: Table | PartitionId, disposition: Disposition = Disposition.EMPTY) -> None:
@@ -55,15 +83,16 @@ def write(df: DataFrame, destination: Table | PartitionId, disposition: Disposit
     spark = df.sparkSession
     partition = destination if isinstance(destination, PartitionId) else None
     table: Table = partition.table if partition else destination
-    df = align(df, table.schema)
-    check_required(df, table.schema)
-    if partition and isinstance(partition.scheme, Sharded):
-        _write_whole(df, partition.table_id.sql, disposition, spark)
-        return
-    if partition:
-        outside = df.where(~F.coalesce(partition.scheme.predicate(partition.value), F.lit(False))).take(1)
-        if outside:
-            raise QuillError(f"rows outside of the partition {partition.table_id}")
+    sharded = partition is not None and isinstance(partition.scheme, Sharded)
+    df = guarded(align(df, table.schema), table.schema, None if sharded else partition)
+    with _told():
+        if sharded:
+            _write_whole(df, partition.table_id.sql, disposition, spark)
+        else:
+            _write(df, table, partition, disposition, spark)
+
+
+def _write(df: DataFrame, table: Table, partition: PartitionId | None, disposition: Disposition, spark: SparkSession) -> None:
     if disposition is Disposition.EMPTY:
         there = table.frame(spark)
         if (there.where(partition.scheme.predicate(partition.value)) if partition else there).take(1):

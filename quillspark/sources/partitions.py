@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,19 +54,22 @@ def _value(scheme: Scheme, raw):
     return raw
 
 
-def _files(spark: SparkSession, path: str) -> Metadata:
-    """Age and size from the files."""
+def _files(spark: SparkSession, path: str) -> dict[str, Metadata]:
+    """Age and size of the files in each folder right below ``path``, and under "" of all; one listing."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
-    times, size = [], 0
+    root, found = folder.toUri().getPath().rstrip("/"), {"": []}
     while files.hasNext():
         f = files.next()
-        if not f.getPath().getName().startswith(("_", ".")):
-            times.append(f.getModificationTime())
-            size += f.getLen()
+        inner = f.getPath().toUri().getPath().removeprefix(root).strip("/").split("/")
+        if not inner[-1].startswith(("_", ".")):
+            one = (f.getModificationTime(), f.getLen())
+            found[""].append(one)
+            if len(inner) > 1:
+                found.setdefault(inner[0], []).append(one)
     at = lambda ms: dt.datetime.fromtimestamp(ms / 1000, dt.UTC)
-    return Metadata(at(min(times)), at(max(times)), None, size) if times else Metadata(bytes=0)
+    return {k: Metadata(at(min(t for t, _ in v)), at(max(t for t, _ in v)), None, sum(n for _, n in v)) if v else Metadata(bytes=0) for k, v in found.items()}
 
 
 def _location(spark: SparkSession, table: TableLike) -> str | None:
@@ -76,7 +80,7 @@ def _location(spark: SparkSession, table: TableLike) -> str | None:
 def table_metadata(spark: SparkSession, table: TableLike, with_rows: bool = False) -> Metadata:
     """Of the table as a whole."""
     location = _location(spark, table)
-    found = _files(spark, location) if location else Metadata()
+    found = _files(spark, location)[""] if location else Metadata()
     rows = spark.table(table.id.sql).count() if with_rows else None
     return Metadata(found.created, found.modified, rows, found.bytes)
 
@@ -96,12 +100,11 @@ def list_partitions(spark: SparkSession, table: TableLike, start: Start = Start(
     listed: dict = {}
     location = None if isinstance(table, View) else _location(spark, table)
     if location and any(f.name == scheme.column for f in _partition_columns(spark, table)):
+        files = _files(spark, location)
         for row in spark.sql(f"SHOW PARTITIONS {table.id.sql}").collect():
             name, _, raw = row[0].partition("=")
             if name == scheme.column and raw != "__HIVE_DEFAULT_PARTITION__":
-                from urllib.parse import unquote
-
-                listed[_value(scheme, unquote(raw))] = _files(spark, f"{location}/{row[0]}")
+                listed[_value(scheme, unquote(raw))] = files.get(row[0], Metadata())
     else:
         for row in distinct_partitions(spark.table(table.id.sql), scheme, own).collect():
             listed[_value(scheme, row[0])] = Metadata()
