@@ -21,8 +21,8 @@ _PLAIN_BELOW = 0x250
 _NOT_PLAIN = re.compile("[^\x00-įı-ɏ]")
 _CONTRACTION = re.compile("'(?:[sdmt]|re|ve|ll)")
 _BETWEEN = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-_CACHED_WORDS = 2_000_000
-_PART_CHARS = 2_000_000
+_CACHED_WORDS = 1_500_000
+_PART_CHARS = 1_000_000
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
