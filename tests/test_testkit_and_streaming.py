@@ -68,7 +68,7 @@ def test_streams(spark, sf, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(source)).withColumn("d", F.lit(None).cast("date"))
     q = fill_stream(stream, Day("d"), str(tmp_path / "out"), str(tmp_path / "cp"), event_time="ts")
     q.awaitTermination(120)
-    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out" / "_batch=0"))
+    got = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out" / "batch=0"))
     assert got.count() == spark.read.parquet(str(source)).count() and got.where("d <> date(ts)").count() == 0
     counted = windowed_counts(spark.readStream.schema(schema).parquet(str(source)), "ts", "1 hour", "1 day", "event_type")
     q = counted.writeStream.format("memory").queryName("quill_counts").outputMode("complete").trigger(availableNow=True).start()
