@@ -26,6 +26,8 @@ from quillspark.llm.filters import may_repeat
 from quillspark.llm.tokens import encoder
 
 MIN_IDS, MAX_IDS, MEAN_BITS, WINDOW = 64, 1024, 8, 8
+#: Children of a node in the tree over a part's documents, and its levels: enough for 10**9 documents.
+FAN_OUT, LEVELS = 1000, 3
 #: Digests that a task remembers, so as not to hand on the same chunk again and again.
 _RECENT = 200_000
 
@@ -122,9 +124,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wid
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
-    """A root for the recipes of each part, which is as long as one file."""
-    of = F.sort_array(F.collect_list(F.struct("doc_id", F.hex("root").alias("root"))))
-    return recipes.groupBy("part").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sha2(F.to_json(of), 256).alias("root"))
+    """The Merkle root of each part's documents, in their order. No group is larger than the fan-out."""
+    order = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "root")) - 1
+    leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("root")), 256)
+    level = recipes.select("part", order.cast("long").alias("k"), leaf.alias("h"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"))
+    for _ in range(LEVELS):
+        own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy("part", F.expr(f"k div {FAN_OUT}").alias("k")).agg(F.sha2(own, 256).alias("h"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
+    return level.select("part", "documents", "tokens", F.col("h").alias("root"))
 
 
 def _product(a: int, b: int) -> int:
