@@ -124,7 +124,7 @@ def view_normalised_activity(spark, sf):
     return frag("SELECT event_id, user_id, full_name, event_type FROM {p}", p=v.partition(dt.date(2024, 1, 5))).run(spark)
 
 
-@R.add("SELECT x AS n, x * x AS square FROM (SELECT unnest([1, 2, 3, 5]) AS x)")
+@R.add("SELECT x AS n, x * x AS square FROM (SELECT CAST(unnest([1, 2, 3, 5]) AS BIGINT) AS x)")
 def array_scan(spark, sf):
     return frag("SELECT n, n * n AS square FROM (SELECT explode({xs}) AS n)", xs=Literal([1, 2, 3, 5]).frag).run(spark)
 

@@ -38,12 +38,12 @@ _sql("join_full", f"SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM [[custo
 _sql("join_semi", f"SELECT c_custkey, c_name FROM [[customer]] c WHERE EXISTS (SELECT 1 FROM {_JANUARY} o WHERE o.o_custkey = c.c_custkey)", "customer", "orders")
 _sql("join_anti", f"SELECT c_custkey, c_name FROM [[customer]] c WHERE NOT EXISTS (SELECT 1 FROM {_JANUARY} o WHERE o.o_custkey = c.c_custkey)", "customer", "orders")
 _sql("join_cross", "SELECT a.r_name AS a, b.r_name AS b FROM [[region]] a, [[region]] b", "region")
-_sql("countif_group_ordinal", "SELECT o_orderstatus, o_orderpriority, count_if(o_totalprice > 1000) AS n, count_if(o_custkey IS NULL) AS missing FROM [[orders]] GROUP BY 1, 2", "orders")
+_sql("countif_group_ordinal", "SELECT o_orderstatus, o_orderpriority, CAST(count_if(o_totalprice > 1000) AS BIGINT) AS n, CAST(count_if(o_custkey IS NULL) AS BIGINT) AS missing FROM [[orders]] GROUP BY 1, 2", "orders")
 _sql("count_view", "SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n FROM [[orders]] GROUP BY 1", "orders")
 _sql("cube", f"SELECT l_returnflag, l_linestatus, count(*) AS n, {total('l_quantity')} AS q FROM [[lineitem]] GROUP BY CUBE (l_returnflag, l_linestatus)", "lineitem")
 _sql("rollup", f"SELECT l_returnflag, l_linestatus, {total('l_quantity')} AS q FROM [[lineitem]] GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem")
 _sql("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM [[lineitem]] GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", "lineitem")
-_sql("window_rank", "SELECT o_custkey, o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM [[orders]]", "orders")
+_sql("window_rank", "SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rk FROM [[orders]]", "orders")
 _sql("window_running_count", "SELECT o_custkey, o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM [[orders]]", "orders")
 _sql("window_running_sum", "SELECT o_custkey, o_orderkey, CAST(SUM(CAST(o_totalprice AS DECIMAL(18, 2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS s FROM [[orders]]", "orders")
 _sql("window_qualify", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM [[orders]]) x WHERE k = 1", "orders")

@@ -104,7 +104,7 @@ def load_roundtrip_partition(spark, sf):
     return table.frame(spark).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@R.add("SELECT r_regionkey + 0 AS k, r_name AS name FROM region UNION ALL SELECT 100, NULL")
+@R.add("SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region UNION ALL SELECT 100, NULL")
 def load_rows_roundtrip(spark, sf):
     table = _fresh(spark, "rows_loaded", IntRange("k", 0, 4000, 1), Field("name", Type.STRING), Field("k", Type.INT64))
     rows = [{"k": r[0], "name": r[1]} for r in read(spark, sf, "region").collect()]
