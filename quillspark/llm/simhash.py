@@ -204,11 +204,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -
     """(doc_id, fp, component_id): the smallest doc_id that each document reaches."""
     marked = cut(fingerprints(docs, words))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(fps.select("fp"), radius))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = cut(rooted.join(least, "root").select("fp", "component_id"))
+    roots = components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    linked = cut(fps.join(roots, "fp").unionByName(fps.join(roots.select("root").distinct(), F.col("fp") == F.col("root"))))
+    # both sides are at rest, so that Spark can split the join at a large component
+    least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    found = linked.join(least, "root").select("fp", "component_id")
+    labels = cut(fps.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
