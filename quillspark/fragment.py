@@ -59,15 +59,12 @@ class Frag:
     def collect(self, pick: Callable) -> list:
         """What ``pick`` gives, other than None, for each part: bodies of functions first, then calls in order."""
         out = []
-        seen: set[int] = set()
 
         def walk(part) -> None:
             for inner in _inside(part):
                 walk(inner)
-            if id(part) not in seen or isinstance(part, (PartitionId, TableLike)):
-                seen.add(id(part))
-                if (x := pick(part)) is not None:
-                    out.append(x)
+            if (x := pick(part)) is not None:
+                out.append(x)
 
         for part in self.parts:
             walk(part)
