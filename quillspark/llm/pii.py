@@ -7,7 +7,7 @@ judge each by its format and the words around it. They are trained on base spans
 bounded sample of the documents, rewritten into such formats in their own surroundings,
 against proposals that are dates, versions, prices, order numbers and the like. For each
 kind, the threshold is the least that keeps the wanted precision on held-out examples;
-the best-scored spans that overlap no other span of their kind are added.
+the best-scored spans that overlap no other span are added.
 
 A null text counts as empty. Repeated rows get equal results. Where a sample holds no
 base span, the examples alone train the trees. An empty table gives an empty result.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -283,17 +284,38 @@ def fit(spans: list[tuple[str, str, str, str]], precision: float = PRECISION) ->
     return Model(trees, thresholds)
 
 
+class _Taken:
+    """Disjoint intervals of a text."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts, self.ends = [], []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.starts and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.ends[k - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        k = bisect_left(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 def all_spans(model: Model, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Base spans, and the candidates that the trees accept."""
-    found = [c for c in candidates(text) if not any(k == c[0] and a < c[2] and c[1] < b for k, a, b in base)]
-    # a span that another kind's base pattern holds is not proposed again
-    found = [c for c in found if not any(a < c[2] and c[1] < b for _, a, b in base)]
-    out = list(base)
+    """Base spans, and the candidates that the trees accept; these overlap no other span of any kind."""
+    taken, out = _Taken(base), list(base)
+    found = [c for c in candidates(text) if not taken.meets(*c[1:])]
     if found:
-        p = model.trees.score(np.array([features(*c[:1], text, *c[1:]) for c in found]))
+        p = model.trees.score(np.array([features(kind, text, a, b) for kind, a, b in found]))
         for k in np.argsort(-p, kind="stable"):
             kind, a, b = found[k]
-            if p[k] >= model.thresholds[kind] and not any(x < b and a < y for _, x, y in out):
+            if p[k] >= model.thresholds[kind] and not taken.meets(a, b):
+                taken.add(a, b)
                 out.append(found[k])
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
