@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 27
 
 
-def _places(digest: Column, bits: int) -> Column:
+def _places(digest: Column, bits: int) -> list[Column]:
     """Two positions in the filter."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(k), digest), F.lit(bits)) for k in (1, 2)])
+    return [F.pmod(F.xxhash64(F.lit(k), digest), F.lit(bits)) for k in (1, 2)]
 
 
 def may_repeat(index: DataFrame, most: int = FILTER_BITS) -> Callable[[Column], Column]:
     """From (digest, n): a test of digests that is true for each with n > 1, and for few others."""
     twice = index.where("n > 1").select("digest")
     bits = min(most, max(1024, 1 << (16 * twice.count()).bit_length()))
-    places = twice.select(F.explode(_places(F.col("digest"), bits)).alias("b"))
+    places = twice.select(F.explode(F.array(*_places(F.col("digest"), bits))).alias("b"))
     words = places.groupBy(F.expr("b div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("x"))
     table = np.zeros(bits // 32, dtype=np.uint32)
     for row in words.toLocalIterator():  # bounded by the size of the filter
@@ -33,8 +33,8 @@ def may_repeat(index: DataFrame, most: int = FILTER_BITS) -> Callable[[Column],
     sent = index.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
-    def found(where: pd.Series) -> pd.Series:
-        at = np.array(where.tolist(), dtype=np.int64).reshape(-1, 2)
-        return pd.Series((sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).all(axis=1))
+    def found(first: pd.Series, second: pd.Series) -> pd.Series:
+        hit = [sent.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 for at in (first.to_numpy(), second.to_numpy())]
+        return pd.Series((hit[0] & hit[1]).astype(bool))
 
-    return lambda digest: found(_places(digest, bits))
+    return lambda digest: found(*_places(digest, bits))

@@ -111,16 +111,35 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wid
     index = cut(rows.select(F.explode("fresh").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")))
     repeats = may_repeat(index)
     chunks = rows.select(F.explode(F.arrays_zip("fresh", "chunks")).alias("x")).select(F.col("x.fresh").alias("digest"), F.col("x.chunks").alias("ids"))
-    chunks.where(~repeats(F.col("digest"))).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    several = chunks.where(repeats(F.col("digest"))).groupBy("digest").agg(F.first("ids").alias("ids"))
-    several.write.mode("append").option("compression", "zstd").parquet(f"{path}/chunks")
+    split = f"{path}/split"
+    chunks.withColumn("several", repeats(F.col("digest"))).write.option("compression", "zstd").partitionBy("several").parquet(split)
+    several = spark.read.schema("digest binary, ids binary, several boolean").parquet(split).where("several").drop("several")
+    several.groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    _take(spark, f"{split}/several=false", f"{path}/chunks")
+    _delete(spark, split)
     recipes = rows.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
     recipes.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     written = spark.read.parquet(f"{path}/recipes")
     _roots(written).write.parquet(f"{path}/manifest")
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(staged)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _delete(spark, staged)
+
+
+def _at(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, files = _at(spark, path)
+    files.delete(where, True)
+
+
+def _take(spark: SparkSession, source: str, target: str) -> None:
+    """Move the files of one folder into another."""
+    where, files = _at(spark, source)
+    if files.exists(where):
+        for f in files.listStatus(where):
+            files.rename(f.getPath(), _at(spark, f"{target}/{f.getPath().getName()}")[0])
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -145,14 +164,23 @@ def _product(a: int, b: int) -> int:
     return out
 
 
-def _shifts(n: int) -> list[int]:
-    """What moves a CRC-32 on by k ids of 4 bytes, for k up to n."""
+def _shifts(most: int) -> np.ndarray:
+    """What moves a CRC-32 on by n ids of 4 bytes, for each n up to ``most``: a table for each of its bytes."""
     word = 1 << 30
     for _ in range(5):
         word = _product(word, word)
-    out = [1 << 31]
-    for _ in range(n):
-        out.append(_product(out[-1], word))
+    one = np.array([[_product(word, v << 8 * byte) for v in range(256)] for byte in range(4)], dtype=np.uint32)
+    out = np.empty((most + 1, 4, 256), dtype=np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]
+    for n in range(1, most + 1):
+        out[n] = _moved(one[None], np.zeros(out[0].shape, dtype=np.int64), out[n - 1])
+    return out
+
+
+def _moved(tables: np.ndarray, n: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    out = tables[n, 0, crc & 255]
+    for byte in range(1, 4):
+        out = out ^ tables[n, byte, crc >> (8 * byte) & 255]
     return out
 
 
@@ -201,26 +229,30 @@ def summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     verify_store(spark, path)
     recipes = read_recipes(spark, path)
     refs = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
-    parts = refs.join(read_chunks(spark, path, width), "digest").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "digest"))).alias("parts"))
+    own = F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "digest")))
+    parts = refs.join(read_chunks(spark, path, width), "digest").groupBy("start").agg(own.alias("parts"))
+    lists = [F.col(f"parts.{c}").alias(c) for c in ("crc", "n", "digest")]
 
     def joined(batches):
         shifts = _shifts(MAX_IDS)
         for batch in batches:
-            crcs, sizes = [], []
-            for parts, root in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                crc, n = 0, 0
-                for x in parts:
-                    crc = _product(shifts[x["n"]], crc) ^ x["crc"]
-                    n += x["n"]
-                if merkle([x["digest"] for x in parts]) != root:
-                    raise ValueError("a document's chunks do not match its root")
-                crcs.append(crc)
-                sizes.append(n)
-            if sizes != batch.column(2).to_pylist():
+            crcs, sizes, digests = batch.column("crc"), batch.column("n"), batch.column("digest").to_pylist()
+            at, ends = (crcs.offsets.to_numpy()[k : len(crcs) + k].astype(np.int64) for k in (0, 1))
+            crc_of, n_of = crcs.values.to_numpy().astype(np.uint32), sizes.values.to_numpy().astype(np.int64)
+            crc, total = np.zeros(len(crcs), dtype=np.uint32), np.zeros(len(crcs), dtype=np.int64)
+            while (left := np.flatnonzero(at < ends)).size:  # the next chunk of each document that has one
+                n = n_of[at[left]]
+                crc[left] = _moved(shifts, n, crc[left]) ^ crc_of[at[left]]
+                total[left] += n
+                at[left] += 1
+            if [merkle(x) for x in digests] != batch.column("root").to_pylist():
+                raise ValueError("a document's chunks do not match its root")
+            if not (total == batch.column("n_tokens").to_numpy()).all():
                 raise ValueError("a document's length does not match its recipe")
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "parts", "root").mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    whole = recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "root", *lists)
+    return whole.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def reconstruct(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
