@@ -44,6 +44,28 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _sorted(keys: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], word[order]
+
+
+class _Growing:
+    """An array that is added to at its end."""
+
+    def __init__(self, kind):
+        self.room, self.n = np.zeros(1024, dtype=kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.room[: self.n], np.zeros(self.n + 2 * len(more), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class Encoder:
     """``path``: a tokenizer file, byte-level or with lower-case words. ``end_id`` closes each text."""
 
@@ -61,8 +83,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
+        # hashes of known words in order, and their numbers; recent words are kept apart until they are many
         self.keys, self.word = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.recent = self.keys, self.word
+        self.ids, self.bounds = _Growing(np.uint32), _Growing(np.int64)
+        self.bounds.add(np.zeros(1, np.int64))
 
     def _library(self, words: list[str]) -> list[list[int]]:
         """Ids of single words; plain ones go to the library as one text, which is faster."""
@@ -120,20 +145,23 @@ class Encoder:
         if len(self.keys) > _CACHED_WORDS:
             self._clear()
         some, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, some)
-        known = np.zeros(len(some), dtype=bool)
-        known[at < len(self.keys)] = self.keys[at[at < len(self.keys)]] == some[at < len(self.keys)]
-        number = np.empty(len(some), dtype=np.int64)
-        number[known] = self.word[at[known]]
-        if not known.all():
-            fresh = where[~known]
+        number = np.full(len(some), -1, dtype=np.int64)
+        for have, word in ((self.keys, self.word), self.recent):
+            if len(have):
+                at = np.minimum(np.searchsorted(have, some), len(have) - 1)
+                number = np.where(have[at] == some, word[at], number)
+        new = number < 0
+        if new.any():
+            fresh = where[new]
             ids = self._library([text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
-            number[~known] = np.arange(len(ids)) + len(self.ends) - 1
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-            self.flat = np.concatenate([self.flat, np.array([y for x in ids for y in x], dtype=np.uint32)])
-            keys, word = np.concatenate([self.keys, some[~known]]), np.concatenate([self.word, number[~known]])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.word = keys[order], word[order]
+            known = len(self.bounds.held) - 1
+            number[new] = np.arange(len(ids)) + known
+            self.bounds.add(self.bounds.held[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64))
+            self.ids.add(np.array([y for x in ids for y in x], dtype=np.uint32))
+            self.recent = _sorted(np.concatenate([self.recent[0], some[new]]), np.concatenate([self.recent[1], number[new]]))
+            if len(self.recent[0]) > 50_000 + len(self.keys) // 4:
+                self.keys, self.word = _sorted(np.concatenate([self.keys, self.recent[0]]), np.concatenate([self.word, self.recent[1]]))
+                self.recent = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         return number[back]
 
     def _some(self, texts: list[str], closed: list[bool]) -> tuple[list[np.ndarray], list[int]]:
@@ -154,9 +182,10 @@ class Encoder:
             first[(text_ends - sizes)[sizes > 0]] = True
             starts, ends = self._cut(chars, first)
             which = self._words(joined, starts, ends, self._hashes(chars, starts, ends))
-            size, at = self.ends[which + 1] - self.ends[which], self.ends[which]
+            bounds = self.bounds.held
+            size, at = bounds[which + 1] - bounds[which], bounds[which]
             total = np.cumsum(size)
-            ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(at - (total - size), size)]
+            ids = self.ids.held[np.arange(total[-1] if len(total) else 0) + np.repeat(at - (total - size), size)]
             marks = np.concatenate([[0], total])[np.searchsorted(starts, np.concatenate([[0], text_ends]))]
         pieces, counts, end, n = [], [], np.array([self.end_id], dtype=np.uint32), 0
         for k in range(len(texts)):
