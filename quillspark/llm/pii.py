@@ -2,8 +2,10 @@
 
 The base patterns (e-mail addresses, IPv4 addresses, payment cards, phone numbers) always
 count. Further generators propose spans that the base patterns miss, such as addresses
-with ``(at)`` or numbers without a country code; proposals may overlap. Boosted trees
-judge each by its format and the words around it. They are trained on base spans of a
+with ``(at)`` or numbers without a country code. Numbers that stand in a row are proposed in
+every part that starts and ends with a group of digits, so a card before its expiry date
+is proposed without it; proposals overlap. Boosted trees judge each by its format and what
+stands around it. They are trained on base spans of a
 bounded sample of the documents, rewritten into such formats in their own surroundings,
 against proposals that are dates, versions, prices, order numbers and the like. For each
 kind, the threshold is the least that keeps the wanted precision on held-out examples;
@@ -34,6 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_ROWS, SAMPLE_SPANS = 20_000, 2_000
 PRECISION = 0.99
 AROUND = 40
+#: Candidates whose features are held at once.
+_BLOCK = 10_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,15 +47,25 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
 #: What the generators propose besides base spans.
-_AT = r"(?:@|\((?:at)\)|\[at\]|\{at\}| at (?=[\w-]{1,40}(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )))"
-_DOT = r"(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )"
+_DOT = r"(?:\.| ?\((?i:dot)\) ?| ?\[(?i:dot)\] ?| (?i:dot) )"
+_AT = rf"(?:@|\((?i:at)\)|\[(?i:at)\]|\{{(?i:at)\}}| (?i:at) (?=[\w-]{{1,40}}{_DOT}))"
+_CARD_FORM = r"[0-9]{3,6}(?:[ ./_-]{0,2}[0-9]{2,6}){2,5}"
+_PHONE_FORM = r"\(?[0-9]{2,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,5}\)?){1,4}"
 GENERATORS = {
     "email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}} ?{_AT} ?[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,4}}"),
     "ip": re.compile(r"(?<![\w.])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(dot\)|\[dot\]| dot ) ?[0-9]{1,3}){3}(?![\w])"),
-    "card": re.compile(r"(?<![\w])[0-9]{3,6}(?:[ ./_-]{0,2}[0-9]{2,6}){2,5}(?![\w])"),
-    "phone": re.compile(r"(?<![\w+])(?:00[ -]?)?\(?[0-9]{2,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,5}\)?){1,4}(?![\w])"),
+    "card": re.compile(rf"(?<![\w]){_CARD_FORM}(?![\w])"),
+    "phone": re.compile(rf"(?<![\w+])(?:00[ -]?)?{_PHONE_FORM}(?![\w])"),
 }
-_MAY_MAIL = re.compile(r"@|\(at\)|\[at\]|\{at\}| at [\w-]{1,40}(?: ?\(dot\)| ?\[dot\]| dot |\.[a-z])")
+_IPS = re.compile(f"(?=({GENERATORS['ip'].pattern}))")
+#: Of numbers in a row: what may part two groups, the form of a part, and its least and most digits.
+_GROUP = re.compile(r"[0-9]+")
+_LEFT, _RIGHT = re.compile(r"\+?([0-9]+)\)?[ ./_-]{0,2}\(?$"), re.compile(r"\)?[ ./_-]{0,2}\(?([0-9]+)")
+PARTS = {
+    "card": (re.compile(r"[ ./_-]{1,2}"), re.compile(_CARD_FORM), 13, 19),
+    "phone": (re.compile(r"\)?[ ./-]{0,2}\(?"), re.compile(rf"(?:\+[0-9]{{1,3}}(?:[ ./-]{{0,2}}\(?[0-9]{{2,5}}\)?){{1,4}}|(?:00[ -]?)?{_PHONE_FORM})"), 7, 15),
+}
+_MAY_MAIL = re.compile(r"@|\((?i:at)\)|\[(?i:at)\]|\{(?i:at)\}| (?i:at) [\w-]{1,40}(?: ?\((?i:dot)\)| ?\[(?i:dot)\]| (?i:dot) |\.[A-Za-z0-9-])")
 #: Words before a span that speak for its kind.
 CUES = {
     "email": ("mail", "contact", "write to", "reach", "address"),
@@ -102,15 +116,52 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def parts(kind: str, text: str, groups: list[tuple[int, int]]):
+    """Spans from the start of a group of digits to the end of one, of the form and size of ``kind``; they overlap."""
+    gap, form, least, most = PARTS[kind]
+    for i, (first, _) in enumerate(groups):
+        start = first
+        if kind == "phone" and first and text[first - 1] in "+(":
+            start -= 1
+        elif first and text[first - 1].isalnum():
+            continue
+        n = -2 if kind == "phone" and text.startswith("00", first) else 0
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            n += b - a
+            if n > most or j > i and not gap.fullmatch(text, groups[j - 1][1], a):
+                break
+            if n < least or text[b : b + 1].isalnum():
+                continue
+            if kind == "phone":
+                # with the brackets that belong to it, and without those around it and more
+                inner = text.count("(", first, b) - text.count(")", first, b)
+                begins = first if text[start] == "(" and inner == 0 else start
+                b += text.startswith(")", b) and inner + (text[begins] == "(" and begins < first) == 1
+                if form.fullmatch(text, begins, b):
+                    yield begins, b
+            elif form.fullmatch(text, start, b):
+                yield start, b
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Proposed spans; those of different generators may overlap."""
-    out = []
+    """Proposed spans, each once; they may overlap."""
+    out = {}
     if _MAY_MAIL.search(text):
-        out += [("email", *m.span()) for m in GENERATORS["email"].finditer(text)]
+        out.update((("email", *m.span()), None) for m in GENERATORS["email"].finditer(text))
     if _DIGIT.search(text):
-        for kind in KINDS[1:]:
-            out += [(kind, *m.span()) for m in GENERATORS[kind].finditer(text)]
-    return out
+        out.update((("ip", *m.span(1)), None) for m in _IPS.finditer(text))
+        groups = [m.span() for m in _GROUP.finditer(text)]
+        for kind in PARTS:
+            out.update(((kind, *m.span()), None) for m in GENERATORS[kind].finditer(text))
+            out.update(((kind, a, b), None) for a, b in parts(kind, text, groups))
+    return list(out)
+
+
+def _beside(before: str, after: str) -> list[float]:
+    """Digits of the groups that the span would go on with, and whether an international prefix stands before it."""
+    left, right = _LEFT.search(before), _RIGHT.match(after)
+    return [float(len(left[1]) if left else 0), float(len(right[1]) if right else 0), float(bool(left) and (left[1].startswith("00") or left[0].startswith("+")))]
 
 
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
@@ -125,10 +176,11 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
         float(span.startswith("00")), float("(" in span and ")" in span), span.count("."), span.count("-") + span.count("/"), span.count(" "),
         max(map(len, groups), default=0), min(map(len, groups), default=0), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0,
-        float(bool(re.search(r"[A-Za-z]{2,}$", span))), float("@" in span or "at" in span),
+        float(bool(re.search(r"[A-Za-z]{2,}$", span))), float("@" in span or "at" in span.lower()),
         sum(c in before for c in CUES[kind]), sum(c in before for k in KINDS if k != kind for c in CUES[k]), sum(c in before for c in AGAINST),
         sum("0" <= c <= "9" for c in near), float(bool(before) and before[-1] in "$€£#"), float(after[:1] in ("%", "€", "$")),
         float(bool(re.match(r"(?:19|20)[0-9]{2}[-/.][01]?[0-9]|[0-3]?[0-9][-/.][01]?[0-9][-/.](?:19|20)", span))),
+        *_beside(before, after),
     ]
 
 
@@ -197,7 +249,7 @@ def _rewritten(kind: str, span: str, rng: random.Random) -> str | None:
     """The same datum in a format that the base patterns miss."""
     d = _digits(span)
     if kind == "email":
-        at, dot = rng.choice([("(at)", "."), (" [at] ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot ")])
+        at, dot = rng.choice([("(at)", "."), (" [at] ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), ("(AT)", ".")])
         name, _, domain = span.partition("@")
         return name + at + domain.replace(".", dot)
     if kind == "ip":
@@ -210,6 +262,22 @@ def _rewritten(kind: str, span: str, rng: random.Random) -> str | None:
     return None
 
 
+def _plain(kind: str, span: str, rng: random.Random) -> str | None:
+    """The same number in a usual format, which the base patterns miss only where other numbers adjoin."""
+    d = _digits(span)
+    if kind == "card" and len(d) == 16:
+        return rng.choice([" ", "-", ""]).join(d[k : k + 4] for k in range(0, 16, 4))
+    if kind == "phone":
+        return _rewritten(kind, span, rng)
+    return None
+
+
+def _adjoining(rng: random.Random) -> str:
+    """A number that may stand beside personal data."""
+    r = rng.randrange
+    return rng.choice([f"{r(1, 13):02}/{r(20, 40)}", f"{r(1, 13):02}/{r(2020, 2040)}", f"{r(100, 1000)}", f"{r(10, 60)}", f"{r(1950, 2030)}", f"{r(1000, 10000)}"])
+
+
 def _innocent(rng: random.Random) -> str:
     """A number or phrase that generators propose and that is no personal data."""
     r = rng.randrange
@@ -255,6 +323,11 @@ def examples(spans: list[tuple[str, str, str, str]], seed: int = 23) -> tuple[li
             if rng.random() < 0.7:
                 before = before[:-1] + " " + rng.choice(CUES[kind]).strip() + rng.choice([": ", " ", " is "])
             add(before, new, after, kind)
+            for usual in (_plain(kind, span, rng), new if kind == "card" else None):
+                if usual is not None:
+                    add(before, usual, f" {_adjoining(rng)} {after}", kind)
+                    if rng.random() < 0.3:
+                        add(f"{before}{_adjoining(rng)} ", usual, after, kind)
     for _ in range(3 * len(made)):
         before, after = rng.choice(around)
         if rng.random() < 0.4:
@@ -311,7 +384,7 @@ def all_spans(model: Model, text: str, base: list[tuple[str, int, int]]) -> list
     taken, out = _Taken(base), list(base)
     found = [c for c in candidates(text) if not taken.meets(*c[1:])]
     if found:
-        p = model.trees.score(np.array([features(kind, text, a, b) for kind, a, b in found]))
+        p = np.concatenate([model.trees.score(np.array([features(kind, text, a, b) for kind, a, b in found[k : k + _BLOCK]])) for k in range(0, len(found), _BLOCK)])
         for k in np.argsort(-p, kind="stable"):
             kind, a, b = found[k]
             if p[k] >= model.thresholds[kind] and not taken.meets(a, b):

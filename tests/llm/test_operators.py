@@ -180,6 +180,21 @@ def test_trees_find_more_and_leave_the_rest(spark):
     assert [r["text"] for r in pii.redact(df, model).orderBy("doc_id").collect()] == ["write to [EMAIL] or [PHONE].", None]
 
 
+def test_proposals_of_adjoining_numbers_overlap():
+    model = pii.fit([])
+    cases = [
+        ("card", "card {} 12/27", "4111 1111 1111 1111"), ("card", "card {} 12/27", "4111.1111.1111.1111"), ("card", "visa {} 123", "4111 1111 1111 1111"),
+        ("phone", "call {} 24 hours", "415-555-2671"), ("phone", "call {} 24 hours", "(415) 555-2671"), ("email", "mail: {} now", "JOE.SMITH(AT)EXAMPLE.COM"),
+    ]
+    for kind, around, datum in cases:
+        text = around.format(datum)
+        at = text.index(datum)
+        assert (kind, at, at + len(datum)) in pii.candidates(text) and (kind, at, at + len(datum)) in pii.all_spans(model, text, pii.base_spans(text)), text
+    for kind, text, datum in [("card", "no 100 200 300 4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("ip", "2. 10[.]0[.]0[.]1", "10[.]0[.]0[.]1"), ("phone", "+1 415 555 2671 2024 2025", "+1 415 555 2671")]:
+        at = text.index(datum)
+        assert (kind, at, at + len(datum)) in pii.candidates(text)
+
+
 # 4
 
 
