@@ -7,13 +7,16 @@ its gradient is reversed. The class prior ``pi`` is estimated from a first class
 labelled against unlabelled rows and its mean on trusted positives. A line through the
 scores of labelled training rows of both classes calibrates the result.
 
-At most ``sample_rows`` positives and as many unlabelled rows, picked by a hash of
-their doc_id, are used for training; every document is scored.
+About ``sample_rows`` positives, as many known negatives and as many unlabelled rows, or all
+where there are fewer, are used for training: the labels are joined first, and each class is
+picked by its own share of a hash, so few labels among many documents are all used. Rows count
+by the inverse of that share, so they stand for the whole table. Every document is scored.
 
 A null or empty text has zero for every statistic and gets a score too. Repeated rows
 get equal scores. Labels that repeat for a doc_id count once, by the lowest. Without
-labels of both kinds the calibration is left out; without any positive, every score is
-the prior. An empty table gives an empty result.
+labels of both kinds the calibration is left out. With fewer than two positives, or nothing
+else, nothing can be learned: every score is the prior of 0.5, so none is predicted good, and
+``keep_good`` keeps every document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import hashed_sample, text_batches
+from quillspark.llm.common import cut, positive_hash, sample_bound, text_batches
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
@@ -92,6 +95,7 @@ class Model:
     slope: float
     shift: float
     prior: float
+    learned: bool = True
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = ((expand(x) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
@@ -116,47 +120,60 @@ def _descend(gradient, size: int, steps: int = 600, rate: float = 0.05) -> np.nd
     return w
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+def _weights(weight: np.ndarray | None, n: int) -> np.ndarray:
+    """Weights of mean 1."""
+    return np.ones(n) if weight is None else weight / weight.mean()
+
+
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, pos_weight: np.ndarray | None = None, unl_weight: np.ndarray | None = None) -> float:
     """Share of positives in ``unl``: from P(labelled | x), whose mean on positives is P(labelled | positive)."""
     half = len(pos) // 2
+    pw, uw = _weights(pos_weight, len(pos)), _weights(unl_weight, len(unl))
     x = np.concatenate([pos[:half], unl])
     y = np.concatenate([np.ones(half), np.zeros(len(unl))])
-    w = _descend(lambda w: x.T @ (_sigmoid(x @ w) - y) / len(x) + 1e-3 * w, x.shape[1])
-    labelled = _sigmoid(pos[half:] @ w).mean()
-    return float(np.clip(_sigmoid(unl @ w).mean() / max(labelled, 1e-6), 0.05, 0.98))
+    each = np.concatenate([pw[:half], uw])
+    w = _descend(lambda w: x.T @ (each * (_sigmoid(x @ w) - y)) / len(x) + 1e-3 * w, x.shape[1])
+    labelled = np.average(_sigmoid(pos[half:] @ w), weights=pw[half:])
+    return float(np.clip((uw * _sigmoid(unl @ w)).mean() / max(labelled, 1e-6), 0.05, 0.98))
 
 
-def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, decay: float = 1e-3) -> np.ndarray:
+def nn_pu(pos: np.ndarray, unl: np.ndarray, prior: float, decay: float = 1e-3, pos_weight: np.ndarray | None = None, unl_weight: np.ndarray | None = None) -> np.ndarray:
     """Weights of least non-negative risk, with the logistic loss."""
+    pw, uw = _weights(pos_weight, len(pos)), _weights(unl_weight, len(unl))
 
     def gradient(w):
         p, u = _sigmoid(pos @ w), _sigmoid(unl @ w)
-        up = -prior * pos.T @ (1 - p) / len(pos)
-        rest = np.logaddexp(0, unl @ w).mean() - prior * np.logaddexp(0, pos @ w).mean()
-        down = unl.T @ u / len(unl) - prior * pos.T @ p / len(pos)
+        up = -prior * pos.T @ (pw * (1 - p)) / len(pos)
+        rest = (uw * np.logaddexp(0, unl @ w)).mean() - prior * (pw * np.logaddexp(0, pos @ w)).mean()
+        down = unl.T @ (uw * u) / len(unl) - prior * pos.T @ (pw * p) / len(pos)
         return (up + down if rest >= 0 else -down) + decay * w
 
     return _descend(gradient, pos.shape[1])
 
 
-def fit(x: np.ndarray, label: np.ndarray) -> Model:
-    """``label``: 1 trusted positive, 0 known negative (used for calibration alone), -1 none."""
+def fit(x: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> Model:
+    """``label``: 1 trusted positive, 0 known negative (used for calibration alone), -1 none. ``weight``: rows that each stands for."""
     wide = expand(x)
-    mean, scale = (wide.mean(0), wide.std(0) + 1e-6) if len(wide) else (np.zeros(3 * N_FEATURES), np.ones(3 * N_FEATURES))
+    weight = _weights(weight, len(wide)) if len(wide) else np.zeros(0)
+    mean, scale = np.zeros(3 * N_FEATURES), np.ones(3 * N_FEATURES)
+    if len(wide):
+        mean = np.average(wide, axis=0, weights=weight)
+        scale = np.sqrt(np.average((wide - mean) ** 2, axis=0, weights=weight)) + 1e-6
     ready = _with_one((wide - mean) / scale)
     pos, unl = ready[label == 1], ready[label != 1]
     if len(pos) < 2 or not len(unl):
-        return Model(mean, scale, np.zeros(ready.shape[1]), 0.0, 2.0, 0.5)
+        return Model(mean, scale, np.zeros(ready.shape[1]), 1.0, 0.0, 0.5, learned=False)
     # what is unlabelled in the population includes the positives
-    unl = np.concatenate([unl, pos]) if (label == 0).any() or (label == -1).any() else unl
-    prior = estimate_prior(pos, unl)
-    w = nn_pu(pos, unl, prior)
+    unl = np.concatenate([unl, pos])
+    pos_weight, unl_weight = weight[label == 1], np.concatenate([weight[label != 1], weight[label == 1]])
+    prior = estimate_prior(pos, unl, pos_weight, unl_weight)
+    w = nn_pu(pos, unl, prior, pos_weight=pos_weight, unl_weight=unl_weight)
     known = label >= 0
     slope, shift = 1.0, 0.0
     if 0 < (label[known] == 1).sum() < known.sum():
         z = _with_one((ready[known] @ w)[:, None])
-        y = label[known] == 1
-        slope, shift = _descend(lambda c: z.T @ (_sigmoid(z @ c) - y) / len(z), 2, steps=1500)
+        y, each = label[known] == 1, _weights(weight[known], known.sum())
+        slope, shift = _descend(lambda c: z.T @ (each * (_sigmoid(z @ c) - y)) / len(z), 2, steps=1500)
         slope = max(slope, 1e-3)
     return Model(mean, scale, w, float(slope), float(shift), prior)
 
@@ -166,26 +183,39 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _described(docs: DataFrame, extra: str = "") -> DataFrame:
+def _described(rows: DataFrame) -> DataFrame:
     def described(batches):
         for batch in batches:
-            x = [statistics(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
+            x = [statistics(t) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "h", "label", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(described, "doc_id long, x array<double>")
+    return rows.select("doc_id", "h", "label", "text").mapInArrow(described, "doc_id long, h long, label int, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on a hashed sample of rows that are not held out; only statistics come to the driver."""
+    """Fit on hashed samples of each class of rows that are not held out; only statistics come to the driver."""
     text_batches(docs.sparkSession)
-    known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ready = docs.where(~held_out()).select("doc_id", "text")
-    n = max(1, ready.count())
-    share = min(1.0, 2 * sample_rows / n)
-    some = ready.where(hashed_sample(share, 3, "doc_id"))
-    rows = _described(some).join(known, "doc_id", "left").limit(3 * sample_rows).toPandas()
-    label = rows["quality"].fillna(-1).to_numpy(dtype=int)
-    return fit(np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), label)
+    known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
+    # rows without a doc_id differ by their text
+    ready = docs.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = ready.withColumn("h", positive_hash(F.lit(3), "doc_id", "text"))
+    label = F.coalesce("label", F.lit(-1))
+    sizes = {r["label"]: r["n"] for r in ready.select("doc_id").join(known, "doc_id", "left").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {k: min(1.0, sample_rows / n) for k, n in sizes.items()}
+    bound = F.lit(-1).cast("long")
+    for k, share in shares.items():
+        bound = F.when(label == k, F.lit(sample_bound(share))).otherwise(bound)
+    # ids meet the labels, and the few that are picked meet the texts, which are not shuffled
+    widest = sample_bound(max(shares.values(), default=0.0))
+    ids = keyed.where(F.col("h") <= widest).select("doc_id", "h").join(known, "doc_id", "left")
+    picked = cut(ids.where(F.col("h") <= bound).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), label.alias("label")).distinct())
+    rows = keyed.join(F.broadcast(picked), (F.col("h") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    # rows that repeat come once, with their number
+    rows = _described(rows).groupBy("doc_id", "h").agg(F.first("label").alias("label"), F.first("x").alias("x"), F.count(F.lit(1)).alias("n"))
+    rows = rows.toPandas().sort_values(["h", "doc_id"])
+    found = rows["label"].to_numpy(dtype=int)
+    weight = rows["n"].to_numpy(dtype=float) / np.array([shares[k] for k in found.tolist()]).reshape(-1)
+    return fit(np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), found, weight)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
@@ -208,4 +238,5 @@ def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without those that the classifier rejects."""
-    return docs.where(score(docs, train(docs, labels)) >= threshold)
+    model = train(docs, labels)
+    return docs.where(score(docs, model) >= threshold) if model.learned else docs

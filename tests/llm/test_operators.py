@@ -129,6 +129,34 @@ def test_pu_risk_finds_the_prior_and_the_classes():
     assert np.mean((one @ w > 0) == (np.arange(4000) < 3000)) > 0.97
 
 
+def test_quality_uses_few_labels_among_many_documents(spark):
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["meadow", "river", "stone", "winter", "quiet", "house"]) for _ in range(30)) + "."
+    bad = lambda: "BUY!!! " * 9 + str(rng.randrange(10**6)) + " | $$$ " * 9
+    rows = [(k, good() if k % 2 else bad()) for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # 100 labels of 6,000 rows
+    labels = spark.createDataFrame([(60 * k + k % 2, k % 2) for k in range(100)], "doc_id long, quality int")
+    model = quality.train(docs, labels, sample_rows=200)
+    scores = model.score(np.array([quality.statistics(t) for _, t in rows]))
+    assert model.learned and scores[1::2].min() > 0.7 > scores[::2].max()
+    assert abs(model.prior - 0.5) < 0.15
+    none = quality.report(docs, labels.where("quality = 0"))
+    assert {tuple(r) for r in none.select("score", "predicted").distinct().collect()} == {(0.5, 0)}
+    assert quality.keep_good(docs, labels.limit(0)).count() == 6000
+
+
+def test_quality_weights_stand_for_rows():
+    rng = np.random.default_rng(5)
+    x, label = rng.random((120, quality.N_FEATURES)), rng.integers(-1, 2, 120)
+    order = np.argsort(label, kind="stable")
+    x, label = x[order], label[order]
+    n = np.where(label == -1, 3, 1)
+    one, many = quality.fit(x, label, n.astype(float)), quality.fit(np.repeat(x, n, axis=0), np.repeat(label, n))
+    assert np.allclose(one.mean, many.mean) and np.allclose(one.scale, many.scale)
+    assert abs(one.prior - many.prior) < 0.1
+
+
 # 3
 
 BASE = {
