@@ -6,7 +6,8 @@ is one window. Token windows of the training texts are hashed and looked up; hit
 verified word by word. A word inside any occurrence of a window is hit.
 
 The test set is read in blocks of a bounded number of words, each broadcast and passed
-over all documents in turn, so a larger test set takes more passes and no more memory.
+over all documents, so no single broadcast grows with the test set. All blocks run in one
+stage, though, and the driver builds them all: memory grows with their number.
 
 A null text has no words; an item without words has no window. Items that repeat count
 by their item_id. Documents keep all their columns, and their repeated rows.
