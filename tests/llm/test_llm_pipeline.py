@@ -1,7 +1,7 @@
 """The pipeline stage by stage, each against a brute-force version on the stage's own input."""
 
 import pytest
-from test_operators import BYTE_TOKENIZER, brute_components, brute_contamination, brute_fingerprint, check_packing, cut_pieces, whole_ids
+from test_llm_operators import BYTE_TOKENIZER, brute_components, brute_contamination, brute_fingerprint, check_packing, cut_pieces, whole_ids
 
 import corpus_pipeline
 from quillspark.llm import quality
