@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,47 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of ``rows`` for what is computed within, and as they were afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """Every column, whatever its name has in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def digest_of(text: Column) -> Column:
+    """SHA-256 of a text in UTF-8, as hex; a null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def files_at(spark: SparkSession, path: str):
+    """(path, file system) as Hadoop has them, so that any shared store will do."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where, files = files_at(spark, path)
+    files.delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,36 +106,30 @@ def hashed_sample(share: float, seed: int, *cols: str) -> Column:
     return positive_hash(F.lit(seed), *cols) <= sample_bound(share)
 
 
-#: Ids that are sent to all executors at once, at most; more are joined by a shuffle.
-SENT_IDS = 2_000_000
+#: Rows that are sent to all executors at once, at most; more are joined by a shuffle.
+SENT_ROWS = 1_000_000
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows of some doc_ids. Texts stay where they are while the ids are few."""
-    gone = cut(gone.select("doc_id").distinct())
-    few = gone.count() <= SENT_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+def sent_if_few(rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """``rows``, which is at rest, marked for a broadcast where its count allows that."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, ties: list[str], rank: str, total: str) -> DataFrame:
-    """Rank from 0 within ``keys`` by ``order`` (0 .. 2**63 - 1) and ``ties``; adds the group's size too.
+def ranked(df: DataFrame, by: list[str], rank: str) -> DataFrame:
+    """``df`` with ``rank`` from 0 in the order of ``by``, whose last column tells rows apart.
 
-    No group is ever sorted in one task: rows are cut into buckets of ``order``, the
-    small counts of the buckets give each its first rank, and rows are numbered within
-    a bucket. ``df`` is read twice, so it should be a cut.
+    Rows are sorted by range, so equal values of the first columns may fill several tasks,
+    and the counts of the ranges, one row for each, give each its first rank.
     """
-    spark = df.sparkSession
-    buckets = max(4 * shuffle_partitions(spark), 64, df.count() // 50_000)
-    width = (1 << 63) // buckets + 1
-    cols = df.columns
-    df = df.withColumn("_bucket", F.expr(f"`{order}` div {width}L").cast("int"))
-    by = Window.partitionBy(*[F.col(k) for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    before = F.sum("_n").over(by.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = (
-        df.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_first"), F.sum("_n").over(by).alias(total))
-    )
-    at = Window.partitionBy(*keys, "_bucket").orderBy(order, *ties)
-    joined = df.join(firsts, [*keys, "_bucket"])
-    return joined.select(*cols, (F.col("_first") + F.row_number().over(at) - 1).alias(rank), total)
+    part, place, first = (free(df, f"__quill_{x}") for x in ("part", "place", "first"))
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # the low 33 bits count the rows of a partition
+    rows = cut(rows.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    before = Window.partitionBy(F.lit(0)).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first))
+    return rows.join(F.broadcast(firsts), part).withColumn(rank, F.col(first) + F.col(place)).drop(part, place, first)
+
+
+def row_salt() -> Column:
+    """A number of each row that tells it apart; for a frame that is cut next, so that it stays as it is."""
+    return F.xxhash64(F.lit(97), F.monotonically_increasing_id())

@@ -12,7 +12,10 @@ remain that their values bound its size. Components are found by alternating lar
 small stars, on links between fingerprints.
 
 A null or empty text has fingerprint zero and is linked like any other. Repeated rows
-share a component. An empty table gives an empty result.
+share a component. ``keep_one`` judges each row by its own text: a text that shares its
+doc_id with another is not dropped with it, and of rows with the least doc_id of a
+component one stays. A missing doc_id is the component's only where it has no other. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, text_batches, without_ids
+from quillspark.llm.common import all_of, arrow_batches, cut, digest_of, free, sent_if_few, text_batches
 
 WORDS = 4
 RADIUS = 4
@@ -56,15 +59,21 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): fp is the fingerprint as a signed long, text_key tells texts apart."""
     text_batches(docs.sparkSession)
 
     def marked(batches):
         for batch in batches:
-            found = np.array([fingerprint(x, words) for x in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            found = np.array([fingerprint(x, words) for x in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found)], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(marked, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), "text")
+    return rows.mapInArrow(marked, "doc_id long, text_key binary, fp long")
+
+
+def _text_key():
+    """16 bytes of the SHA-256 of the text."""
+    return F.substring(F.unhex(digest_of(F.col("text"))), 1, 16)
 
 
 def covering_masks(bits: list[int], radius: int, seed: int) -> list[int]:
@@ -140,8 +149,12 @@ def _within(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
 
 def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET, seed: int = 5) -> DataFrame:
     """Links (a, b) that connect all fingerprints of ``fps`` (column fp, distinct) within the radius."""
+    with arrow_batches(fps.sparkSession, 50_000):
+        return cut(_links(fps, radius, bucket, seed))
+
+
+def _links(fps: DataFrame, radius: int, bucket: int, seed: int) -> DataFrame:
     spark = fps.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     masks = covering_masks(list(range(_BITS)), radius, seed)
     rows = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("m0", "_m")).select(F.col("m0"), F.expr("fp & _m").alias("k0"), "fp")
     keys, out, level = ["m0", "k0"], None, 0
@@ -201,16 +214,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest doc_id that each document reaches."""
+    """(doc_id, text_key, fp, component_id): the smallest doc_id that each document reaches."""
     marked = cut(fingerprints(docs, words))
     fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
     linked = cut(fps.join(roots, "fp").unionByName(fps.join(roots.select("root").distinct(), F.col("fp") == F.col("root"))))
     # both sides are at rest, so that Spark can split the join at a large component
     least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    found = linked.join(least, "root").select("fp", "component_id")
-    labels = cut(fps.join(found, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
-    return marked.join(labels, "fp").select("doc_id", "fp", "component_id")
+    found = linked.join(least, "root").select("fp", "root", "component_id")
+    labels = cut(fps.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id")))
+    return marked.join(labels, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -219,6 +232,23 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: that of the smallest doc_id."""
-    gone = near_duplicates(docs, words, radius).where("doc_id > component_id")
-    return without_ids(docs, gone)
+    """``docs`` with one row of each component: that of the smallest doc_id."""
+    found = cut(near_duplicates(docs, words, radius))
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # rows of the least doc_id of a component, where there are several: one text of them stays
+    tied = cut(found.where(first).groupBy("root").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1"))
+    gone = found.where(~first).select("doc_id", "text_key")
+    several = bool(tied.take(1))
+    if several:
+        lost = found.where(first).join(tied.select("root", F.col("text_key").alias("kept")), "root").where(F.col("text_key") != F.col("kept"))
+        gone = gone.unionByName(lost.select("doc_id", "text_key"))
+    key, id = free(docs, "__quill_key"), free(docs, "__quill_id")
+    gone = cut(gone.distinct().select(F.col("text_key").alias(key), F.col("doc_id").alias(id)))
+    on = lambda own: (F.col(key) == _text_key()) & F.col("doc_id").cast("long").eqNullSafe(F.col(own))
+    left = docs.join(sent_if_few(gone), on(id), "left_anti")
+    if not several:
+        return left.select(*all_of(docs))
+    same = sent_if_few(cut(tied.select(F.col("text_key").alias(key), F.col("doc_id").alias(id))))
+    rows = F.first(F.struct(*all_of(docs))).alias("row")
+    one = left.join(same, on(id), "left_semi").groupBy("doc_id", "text").agg(rows).select("row.*")
+    return left.join(same, on(id), "left_anti").select(*all_of(docs)).unionByName(one)
