@@ -2,18 +2,21 @@
 
 A rolling hash over the ids cuts each document into chunks, so equal passages give
 equal chunks; each is stored once, under its SHA-256. A document's recipe lists its
-chunks; a Merkle root over them, and one over the recipes of each file, are in the
-manifests and are checked on reading.
+chunks, with a Merkle root over them; the manifest has a root over the recipes of each
+file, and the root of the store is one over the manifest. Reading checks all of them, so
+a damaged or missing chunk, recipe, file or manifest row raises.
 
 Format: ``chunks/`` (digest, ids as little-endian unsigned integers of ``width``
 bytes), ``recipes/`` in ascending doc_id order (doc_id, part, n_tokens, digests, root),
-``manifest/`` (part, documents, tokens, root). Nulls and empty texts hold the end id
-alone; rows that repeat have a recipe each; an empty table gives an empty store.
+``manifest/`` (part, documents, tokens, root), ``root/`` (parts, documents, tokens, root).
+Nulls and empty texts hold the end id alone; rows that repeat have a recipe each; an
+empty table gives an empty store.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -21,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, shared_path, text_batches
+from quillspark.llm.common import cut, files_at, remove, shared_path, text_batches
 from quillspark.llm.filters import may_repeat
 from quillspark.llm.tokens import encoder
 
 MIN_IDS, MAX_IDS, MEAN_BITS, WINDOW = 64, 1024, 8, 8
-#: Children of a node in the tree over a part's documents, and its levels: enough for 10**9 documents.
-FAN_OUT, LEVELS = 1000, 3
+#: Children of a node in the trees over a part's documents and over parts.
+FAN_OUT = 1000
 #: Digests that a task remembers, so as not to hand on the same chunk again and again.
 _RECENT = 200_000
 
@@ -116,41 +119,55 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, wid
     several = spark.read.schema("digest binary, ids binary, several boolean").parquet(split).where("several").drop("several")
     several.groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{path}/chunks")
     _take(spark, f"{split}/several=false", f"{path}/chunks")
-    _delete(spark, split)
-    recipes = rows.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
+    remove(spark, split)
+    recipes = rows.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     recipes.withColumn("part", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{path}/recipes")
     written = spark.read.parquet(f"{path}/recipes")
     _roots(written).write.parquet(f"{path}/manifest")
-    _delete(spark, staged)
-
-
-def _at(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where, files = _at(spark, path)
-    files.delete(where, True)
+    _store_root(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
+    remove(spark, staged)
 
 
 def _take(spark: SparkSession, source: str, target: str) -> None:
     """Move the files of one folder into another."""
-    where, files = _at(spark, source)
+    where, files = files_at(spark, source)
     if files.exists(where):
         for f in files.listStatus(where):
-            files.rename(f.getPath(), _at(spark, f"{target}/{f.getPath().getName()}")[0])
+            name = f.getPath().getName()
+            if name.startswith("part-") and not files.rename(f.getPath(), files_at(spark, f"{target}/{name}")[0]):
+                raise OSError(f"cannot move {f.getPath()} to {target}")
+
+
+def _tree(leaves: DataFrame, keys: list[str], deep: int) -> DataFrame:
+    """Roots of ``leaves`` (keys, k from 0, h, documents, tokens) by ``keys``, over ``deep`` levels. No group is larger than the fan-out."""
+    level = leaves
+    for _ in range(deep):
+        own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+        level = level.groupBy(*keys, F.expr(f"k div {FAN_OUT}").alias("k")).agg(F.sha2(own, 256).alias("h"), F.sum("leaves").alias("leaves"), F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
+    return level
+
+
+def _deep(n: int) -> int:
+    """Levels of a tree over ``n`` leaves."""
+    return max(1, math.ceil(math.log(max(n, 2), FAN_OUT) - 1e-9))
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
-    """The Merkle root of each part's documents, in their order. No group is larger than the fan-out."""
+    """The Merkle root of each part's documents, in their order."""
+    most = recipes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
     order = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "root")) - 1
     leaf = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("root")), 256)
-    level = recipes.select("part", order.cast("long").alias("k"), leaf.alias("h"), F.lit(1).cast("long").alias("documents"), F.col("n_tokens").alias("tokens"))
-    for _ in range(LEVELS):
-        own = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
-        level = level.groupBy("part", F.expr(f"k div {FAN_OUT}").alias("k")).agg(F.sha2(own, 256).alias("h"), F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-    return level.select("part", "documents", "tokens", F.col("h").alias("root"))
+    one = F.lit(1).cast("long")
+    leaves = recipes.select("part", order.cast("long").alias("k"), leaf.alias("h"), one.alias("leaves"), F.col("n_tokens").alias("tokens"), one.alias("documents"))
+    return _tree(leaves, ["part"], _deep(most)).select("part", "documents", "tokens", F.col("h").alias("root"))
+
+
+def _store_root(manifest: DataFrame) -> DataFrame:
+    """One row: the root over the parts' roots."""
+    leaf = F.sha2(F.concat_ws(":", F.col("part").cast("string"), "documents", "tokens", "root"), 256)
+    leaves = manifest.select(F.col("part").cast("long").alias("k"), leaf.alias("h"), F.lit(1).cast("long").alias("leaves"), "tokens", "documents")
+    last = manifest.agg(F.max("part")).first()[0] or 0
+    return _tree(leaves, [], _deep(last + 1)).select(F.col("leaves").alias("parts"), "documents", "tokens", F.col("h").alias("root"))
 
 
 def _product(a: int, b: int) -> int:
@@ -214,10 +231,14 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verify_store(spark: SparkSession, path: str) -> None:
-    """Raise unless the recipes match the manifest."""
-    bad = _roots(spark.read.parquet(f"{path}/recipes")).join(spark.read.parquet(f"{path}/manifest"), ["part", "documents", "tokens", "root"], "left_anti")
-    if bad.take(1):
+    """Raise unless the recipes match the manifest, and the manifest the root of the store."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    key = ["part", "documents", "tokens", "root"]
+    found, listed = cut(_roots(spark.read.parquet(f"{path}/recipes"))), manifest.select(*key)
+    if found.join(listed, key, "left_anti").take(1) or listed.join(found, key, "left_anti").take(1):
         raise ValueError("the recipes do not match their manifest")
+    if [tuple(r) for r in _store_root(manifest).collect()] != [tuple(r) for r in spark.read.parquet(f"{path}/root").collect()]:
+        raise ValueError("the manifest does not match the root of the store")
 
 
 def summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -230,13 +251,16 @@ def summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     recipes = read_recipes(spark, path)
     refs = recipes.select("start", F.posexplode("digests").alias("pos", "digest"))
     own = F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "digest")))
-    parts = refs.join(read_chunks(spark, path, width), "digest").groupBy("start").agg(own.alias("parts"))
+    # a chunk or list that is missing stays as a null, which raises below
+    parts = refs.join(read_chunks(spark, path, width), "digest", "left").groupBy("start").agg(own.alias("parts"))
     lists = [F.col(f"parts.{c}").alias(c) for c in ("crc", "n", "digest")]
 
     def joined(batches):
         shifts = _shifts(MAX_IDS)
         for batch in batches:
             crcs, sizes, digests = batch.column("crc"), batch.column("n"), batch.column("digest").to_pylist()
+            if crcs.null_count or crcs.values.null_count:
+                raise ValueError("a document's chunks are missing")
             at, ends = (crcs.offsets.to_numpy()[k : len(crcs) + k].astype(np.int64) for k in (0, 1))
             crc_of, n_of = crcs.values.to_numpy().astype(np.uint32), sizes.values.to_numpy().astype(np.int64)
             crc, total = np.zeros(len(crcs), dtype=np.uint32), np.zeros(len(crcs), dtype=np.int64)
@@ -251,22 +275,31 @@ def summaries(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
                 raise ValueError("a document's length does not match its recipe")
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    whole = recipes.join(parts, "start").select("doc_id", "start", "n_tokens", "root", *lists)
+    whole = recipes.join(parts, "start", "left").select("doc_id", "start", "n_tokens", "root", *lists)
     return whole.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def reconstruct(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """(doc_id, start, ids): every document's ids, put together from its chunks."""
+    """(doc_id, start, ids): every document's ids, put together from its chunks, which must match their digests."""
+    verify_store(spark, path)
+    text_batches(spark)
     kind = {2: "<u2", 4: "<u4"}[width]
     recipes = read_recipes(spark, path)
     chunks = spark.read.parquet(f"{path}/chunks")
-    parts = recipes.select("doc_id", "start", F.posexplode("digests").alias("pos", "digest")).join(chunks, "digest")
-    whole = parts.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
+    parts = recipes.select("start", F.posexplode("digests").alias("pos", "digest")).join(chunks, "digest", "left")
+    parts = parts.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "ids"))).alias("parts"))
+    whole = recipes.join(parts, "start", "left").select("doc_id", "start", "root", "parts")
 
     def joined(batches):
         for batch in batches:
-            ids = [np.frombuffer(b"".join(x["ids"] for x in parts), dtype=kind).astype(np.int64) for parts in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
+            out = []
+            for root, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if own is None or any(x["ids"] is None for x in own):
+                    raise ValueError("a document's chunks are missing")
+                if any(hashlib.sha256(x["ids"]).digest() != x["digest"] for x in own) or merkle([x["digest"] for x in own]) != root:
+                    raise ValueError("a document's chunks are damaged")
+                out.append(np.frombuffer(b"".join(x["ids"] for x in own), dtype=kind).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
     return whole.mapInArrow(joined, "doc_id long, start long, ids array<long>")
 
