@@ -4,39 +4,42 @@ Each language has a byte context tree of orders 0 to ``ORDER``. In a context see
 times with d distinct symbols, a symbol seen c times has probability c / (n + d); any
 other escapes with d / (n + d) to the next shorter context, and at last to all byte
 values alike. The statistics are frozen after training, so the code length of a text
-under a language is an exact sum over its symbols, and the shortest wins.
+under a language is an exact sum over its symbols, and the shortest wins. Bytes are
+symbols, but for ASCII letters in one case, digits as one, and other ASCII marks as one.
 
-Trees are compiled into one table of contexts, longest known first, by symbol and
-language. Bytes are symbols, but for ASCII letters in one case, digits as one, and other
-ASCII marks as one.
+Spark counts the symbols after each context, by language; every context and symbol seen
+is kept. Only seen pairs are stored, with their code length in each language; what no
+language has seen goes down the orders when a text is scored.
 
-Training takes about ``ROWS`` documents of each language, or fewer where there are over
-eight languages, picked by a hash of the doc_id; every text is scored, whole. A null
+Training takes about ``ROWS`` documents of each language, all of them where there are
+fewer, picked by a hash of the doc_id and the text; every text is scored, whole. The
+score is the language's share of the likelihood, with code lengths as of a text of
+``TEMPER`` symbols where it is longer, so that long texts do not all score 1. A null
 text, or one without a letter, is ``und`` with score 0. Repeated rows get equal results.
 Without training rows every text is ``und``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import positive_hash, sample_bound, text_batches
 
 ORDER = 3
-#: Training documents of a language, and of all together.
-ROWS, ALL_ROWS = 500, 4000
-#: Contexts in the compiled table, over all languages.
-CONTEXTS = 12_000
-#: Cells of that table, at most: contexts by symbols by languages.
-CELLS = 16_000_000
-_PART = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: Training documents of a language, about.
+ROWS = 500
+#: Symbols that a longer text counts as in its score.
+TEMPER = 8
+#: Symbols times languages that are scored at once.
+_PART = 1 << 22
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _symbols() -> np.ndarray:
@@ -50,114 +53,148 @@ def _symbols() -> np.ndarray:
 
 
 _SYMBOL = _symbols()
-#: Bytes that a symbol stands for.
+#: Bytes that a symbol stands for, and the number of symbols.
 _SPREAD = np.bincount(_SYMBOL)
+_V = len(_SPREAD)
+
+
+def codes_of(texts: list[str | None]) -> np.ndarray:
+    """For each symbol of some texts, itself and the ``ORDER`` symbols before it as one number; blanks stand before a text."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for text in texts:
+        s = _SYMBOL[np.frombuffer(b" " * ORDER + _bytes(text), dtype=np.uint8)]
+        code = np.zeros(len(s) - ORDER, dtype=np.int64)
+        for j in range(ORDER + 1):
+            code = code * _V + s[j : len(s) - ORDER + j]
+        out.append(code)
+    return np.concatenate(out)
+
+
+def _bytes(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
+
+
+@dataclass
+class Level:
+    """Contexts of one order."""
+
+    node: np.ndarray  # context -> its number, or -1
+    slot: np.ndarray  # number of a context and symbol -> row of ``bits``, or -1
+    bits: np.ndarray  # code length of a seen symbol by language
+    escape: np.ndarray  # bits of an escape from a context by language
 
 
 @dataclass
 class Model:
     languages: list[str]
-    used: np.ndarray  # compact number of each symbol; the last stands for those never seen
-    node: np.ndarray  # context of ORDER compact symbols -> row of the table
-    bits: np.ndarray  # row and symbol -> code length by language
+    levels: list[Level]  # of orders 0 to ORDER
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text by language."""
         out = np.zeros((len(texts), len(self.languages)))
-        v, size = int(self.used.max()) + 1, 0
+        size, most = 0, max(1, _PART // max(1, len(self.languages)))
         part: list[tuple[int, bytes]] = []
         for k, text in enumerate(texts):
             # blanks before a text are its first contexts; a long one goes in pieces, each after the end of the last
             whole = b" " * ORDER + text
-            for a in range(0, len(text), _PART):
-                part.append((k, whole[a : a + _PART + ORDER]))
+            for a in range(0, len(text), most):
+                part.append((k, whole[a : a + most + ORDER]))
                 size += len(part[-1][1])
-                if size >= _PART:
-                    self._add(out, part, v)
+                if size >= most:
+                    self._add(out, part)
                     part, size = [], 0
         if part:
-            self._add(out, part, v)
+            self._add(out, part)
         return out
 
-    def _add(self, out: np.ndarray, part: list[tuple[int, bytes]], v: int) -> None:
-        s = self.used[_SYMBOL[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]]
+    def _add(self, out: np.ndarray, part: list[tuple[int, bytes]]) -> None:
+        s = _SYMBOL[np.frombuffer(b"".join(raw for _, raw in part), dtype=np.uint8)]
         context = np.zeros(len(s) - ORDER, dtype=np.int64)
         for j in range(ORDER):
-            context = context * v + s[j : len(s) - ORDER + j]
-        cost = self.bits[self.node[context].astype(np.int64) * v + s[ORDER:]]
+            context = context * _V + s[j : len(s) - ORDER + j]
+        cost = self.cost(context, s[ORDER:])
         ends = np.cumsum([len(raw) for _, raw in part]) - ORDER
         sums = np.concatenate([np.zeros((1, cost.shape[1])), np.cumsum(cost, axis=0, dtype=np.float64)])
         begins = np.concatenate([[0], ends[:-1] + ORDER])
         np.add.at(out, [k for k, _ in part], sums[ends] - sums[begins])
 
-
-def train(rows: list[tuple[str, str]], contexts: int = CONTEXTS) -> Model:
-    """``rows``: (text, language)."""
-    languages = sorted({lang for _, lang in rows})
-    seen = np.zeros(len(_SPREAD), dtype=bool)
-    streams = []
-    for lang in languages:
-        raw = (b" " * ORDER).join([b"", *[(t or "").encode("utf-8", "surrogatepass") for t, x in rows if x == lang]])
-        streams.append(_SYMBOL[np.frombuffer(raw, dtype=np.uint8)])
-        seen[np.unique(streams[-1])] = True
-    seen[0] = True
-    used = np.full(len(_SPREAD), seen.sum())
-    used[seen] = np.arange(seen.sum())
-    v = int(seen.sum()) + 1
-    # bytes that stand behind each compact symbol
-    spread = np.append(_SPREAD[seen], max(1, _SPREAD[~seen].sum()))
-    counts = [{} for _ in range(ORDER + 1)]
-    for k, stream in enumerate(streams):
-        s = used[stream]
-        for order in range(ORDER + 1):
-            code = np.zeros(len(s) - order, dtype=np.int64)
-            for j in range(order + 1):
-                code = code * v + s[j : len(s) - order + j]
-            counts[order][k] = np.unique(code, return_counts=True)
-    # the contexts seen most, all languages together, longer ones only below a kept shorter one
-    table, rows_of = np.zeros((1, v, len(languages))), [np.zeros(1, dtype=np.int64)]
-    before = np.broadcast_to((spread / 256)[None, :, None], (1, v, len(languages)))
-    left = max(1 + v, min(contexts, CELLS // (v * len(languages))))
+    def cost(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after its context, by language."""
+        top = self.levels[-1]
+        number = top.node[context]
+        row = np.where(number >= 0, top.slot[np.maximum(number, 0) * _V + symbol], -1)
+        cost = top.bits[row]  # rows of -1 are set below
+        todo = np.flatnonzero(row < 0)
+        known = number[todo] >= 0
+        cost[todo] = np.where(known[:, None], top.escape[np.maximum(number[todo], 0)], 0)
+        for order in range(ORDER - 1, -1, -1):
+            if not len(todo):
+                return cost
+            level = self.levels[order]
+            number = level.node[context[todo] % _V**order]
+            row = np.where(number >= 0, level.slot[np.maximum(number, 0) * _V + symbol[todo]], -1)
+            hit = row >= 0
+            cost[todo[hit]] += level.bits[row[hit]]
+            miss = ~hit
+            cost[todo[miss]] += np.where((number[miss] >= 0)[:, None], level.escape[np.maximum(number[miss], 0)], 0)
+            todo = todo[miss]
+        cost[todo] += (8 - np.log2(_SPREAD[symbol[todo]]))[:, None].astype(np.float32)
+        return cost
+
+
+def compiled(languages: list[str], lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> Model:
+    """From counts ``n`` of codes (``codes_of``) by number of a language."""
+    levels: list[Level] = []
+    size = len(languages)
     for order in range(ORDER + 1):
-        total = np.zeros(v**order, dtype=np.int64)
-        for codes, n in counts[order].values():
-            np.add.at(total, codes // v, n)
-        parent = rows_of[-1][np.arange(v**order) % v ** max(order - 1, 0)] if order else np.zeros(1, dtype=np.int64)
-        own = np.flatnonzero(total >= (1 if order < 2 else 8))
-        if len(own) > left:
-            own = np.sort(own[np.argsort(-total[own], kind="stable")[:left]])
-        left -= len(own)
-        at = np.full(v**order, -1)
-        at[own] = np.arange(len(own))
-        prob = np.empty((len(own), v, len(languages)))
-        for k in range(len(languages)):
-            codes, n = counts[order][k]
-            c = np.zeros((len(own), v))
-            kept = at[codes // v] >= 0
-            c[at[codes[kept] // v], codes[kept] % v] = n[kept]
-            up = (before[parent[own], :, k] if not order else table[parent[own], :, k])
-            total_c, distinct = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-            share = np.where(total_c > 0, total_c + distinct, 1)
-            prob[:, :, k] = np.where(c > 0, c / share, np.where(total_c > 0, distinct / share, 1.0) * up)
-        where = parent.copy()
-        if order == 0:
-            table, where = prob, np.zeros(1, dtype=np.int64)
-        else:
-            where[own] = len(table) + np.arange(len(own))
-            table = np.concatenate([table, prob])
-        rows_of.append(where)
-    bits = -np.log2(np.maximum(table, 1e-12)).reshape(-1, len(languages)).astype(np.float32)
-    return Model(languages, used, rows_of[-1].astype(np.int32), bits)
+        own = code % _V ** (order + 1)
+        pairs, back = np.unique(own, return_inverse=True)
+        count = np.zeros((len(pairs), size))
+        np.add.at(count, (back, lang), n)
+        contexts, context = np.unique(pairs // _V, return_inverse=True)
+        node = np.full(_V**order, -1, dtype=np.int32)
+        node[contexts] = np.arange(len(contexts))
+        total, distinct = np.zeros((len(contexts), size)), np.zeros((len(contexts), size))
+        np.add.at(total, context, count)
+        np.add.at(distinct, context, count > 0)
+        slot = np.full(len(contexts) * _V, -1, dtype=np.int32)
+        slot[context * _V + pairs % _V] = np.arange(len(pairs))
+        share = np.where(total > 0, total + distinct, 1)
+        escape = np.where(total > 0, -np.log2(np.maximum(distinct, 1) / share), 0)
+        below = _below(levels, pairs // _V, pairs % _V, order, size)
+        bits = np.where(count > 0, -np.log2(np.maximum(count, 1) / share[context]), escape[context] + below)
+        levels.append(Level(node, slot, bits.astype(np.float32), escape.astype(np.float32)))
+    return Model(languages, levels)
+
+
+def _below(levels: list[Level], context: np.ndarray, symbol: np.ndarray, order: int, size: int) -> np.ndarray:
+    """Bits of symbols after contexts of ``order`` as the next shorter ones give them; these have seen the symbols too."""
+    if not order:
+        return np.repeat((8 - np.log2(_SPREAD[symbol]))[:, None], size, axis=1)
+    level = levels[order - 1]
+    return level.bits[level.slot[level.node[context % _V ** (order - 1)].astype(np.int64) * _V + symbol]]
+
+
+def train(rows: list[tuple[str, str]]) -> Model:
+    """``rows``: (text, language). For tables see ``train_on``."""
+    languages = sorted({lang for _, lang in rows})
+    found = [np.unique(codes_of([t for t, x in rows if x == lang]), return_counts=True) for lang in languages]
+    if not languages:
+        return Model([], [])
+    lang = np.repeat(np.arange(len(languages)), [len(c) for c, _ in found])
+    return compiled(languages, lang, np.concatenate([c for c, _ in found]), np.concatenate([n for _, n in found]))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    """Language and its share of the likelihood, tempered by the length."""
+    """Language, and its share of the likelihood, tempered by the length."""
     if not model.languages:
         return ["und"] * len(texts), np.zeros(len(texts))
-    bits = model.lengths([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    raw = [_bytes(t) for t in texts]
+    bits = model.lengths(raw)
     best = bits.argmin(axis=1)
-    odds = np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000))
-    score = 1 / odds.sum(axis=1)
+    ahead = bits - bits[np.arange(len(bits)), best][:, None]
+    ahead *= np.minimum(1, TEMPER / np.maximum([len(x) for x in raw], 1)).reshape(-1, 1)
+    score = 1 / np.exp2(-np.minimum(ahead, 1000)).sum(axis=1)
     lang = [model.languages[b] if t is not None and _LETTER.search(t) else "und" for t, b in zip(texts, best, strict=True)]
     return lang, np.where(np.array(lang) == "und", 0.0, score) if texts else score
 
@@ -167,16 +204,29 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train_on(docs: DataFrame, rows: int = ROWS, all_rows: int = ALL_ROWS) -> Model:
-    """Fit on a hashed sample of each language."""
-    ready = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(all_rows).collect()}
+def train_on(docs: DataFrame, rows: int = ROWS) -> Model:
+    """Fit on a hashed sample of each language. Counts of symbols after contexts come to the driver, never texts."""
+    text_batches(docs.sparkSession)
+    ready = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    sizes = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(0), np.zeros(0), np.zeros(0))
-    each = max(1, min(rows, all_rows // len(sizes)))
-    shares = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(sample_bound(each / n)))])
-    some = ready.where(positive_hash(F.lit(7), "doc_id") <= shares[F.col("lang")]).select("text", "lang").limit(2 * all_rows)
-    return train([(r["text"], r["lang"]) for r in some.collect()])
+        return Model([], [])
+    shares = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(sample_bound(rows / n)))])
+    some = ready.where(positive_hash(F.lit(7), "doc_id", "text") <= shares[F.col("lang")])
+    languages = sorted(sizes)
+    number = {lang: k for k, lang in enumerate(languages)}
+
+    def counted(batches):
+        for batch in batches:
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for lang in sorted(set(langs)):
+                code, n = np.unique(codes_of([t for t, x in zip(texts, langs, strict=True) if x == lang]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), number[lang], np.int32)), pa.array(code), pa.array(n)], ["lang", "code", "n"])
+
+    counts = some.select("text", "lang").mapInArrow(counted, "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    table = counts.toArrow()
+    lang, code, n = (table.column(c).to_numpy() for c in ("lang", "code", "n"))
+    return compiled(languages, lang, code, n)
 
 
 def report(docs: DataFrame) -> DataFrame:
