@@ -4,12 +4,13 @@ The base patterns (e-mail addresses, IPv4 addresses, payment cards, phone number
 count. Further generators propose spans that the base patterns miss, such as addresses
 with ``(at)`` or numbers without a country code. Numbers that stand in a row are proposed in
 every part that starts and ends with a group of digits, so a card before its expiry date
-is proposed without it; proposals overlap. Boosted trees judge each by its format and what
-stands around it. They are trained on base spans of a
-bounded sample of the documents, rewritten into such formats in their own surroundings,
-against proposals that are dates, versions, prices, order numbers and the like. For each
-kind, the threshold is the least that keeps the wanted precision on held-out examples;
-the best-scored spans that overlap no other span are added.
+is proposed without it; proposals overlap. Boosted trees, some for each kind, judge each by its format and what
+stands around it. They are trained on base spans of a bounded sample of the documents,
+and on made-up data, rewritten into such formats, against proposals that are dates,
+versions, prices, order numbers, phrases with "at" and the like. The surroundings are
+those of base spans; a quarter of the documents' surroundings, with data of their own,
+is held out. For each kind, the threshold is the least that keeps the wanted precision
+on what is held out; the best-scored spans that overlap no other span are added.
 
 A null text counts as empty. Repeated rows get equal results. Where a sample holds no
 base span, the examples alone train the trees. An empty table gives an empty result.
@@ -49,7 +50,7 @@ _DIGIT = re.compile(r"[0-9]")
 #: What the generators propose besides base spans.
 _DOT = r"(?:\.| ?\((?i:dot)\) ?| ?\[(?i:dot)\] ?| (?i:dot) )"
 _AT = rf"(?:@|\((?i:at)\)|\[(?i:at)\]|\{{(?i:at)\}}| (?i:at) (?=[\w-]{{1,40}}{_DOT}))"
-_CARD_FORM = r"[0-9]{3,6}(?:[ ./_-]{0,2}[0-9]{2,6}){2,5}"
+_CARD_FORM = r"[0-9]{3,6}(?:[ ./_-]{0,3}[0-9]{2,6}){2,5}"
 _PHONE_FORM = r"\(?[0-9]{2,4}\)?(?:[ ./-]{0,2}\(?[0-9]{2,5}\)?){1,4}"
 GENERATORS = {
     "email": re.compile(rf"[A-Za-z0-9._%+-]{{1,64}} ?{_AT} ?[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,24}}){{1,4}}"),
@@ -62,7 +63,7 @@ _IPS = re.compile(f"(?=({GENERATORS['ip'].pattern}))")
 _GROUP = re.compile(r"[0-9]+")
 _LEFT, _RIGHT = re.compile(r"\+?([0-9]+)\)?[ ./_-]{0,2}\(?$"), re.compile(r"\)?[ ./_-]{0,2}\(?([0-9]+)")
 PARTS = {
-    "card": (re.compile(r"[ ./_-]{1,2}"), re.compile(_CARD_FORM), 13, 19),
+    "card": (re.compile(r"[ ./_-]{1,3}"), re.compile(_CARD_FORM), 13, 19),
     "phone": (re.compile(r"\)?[ ./-]{0,2}\(?"), re.compile(rf"(?:\+[0-9]{{1,3}}(?:[ ./-]{{0,2}}\(?[0-9]{{2,5}}\)?){{1,4}}|(?:00[ -]?)?{_PHONE_FORM})"), 7, 15),
 }
 _MAY_MAIL = re.compile(r"@|\((?i:at)\)|\[(?i:at)\]|\{(?i:at)\}| (?i:at) [\w-]{1,40}(?: ?\((?i:dot)\)| ?\[(?i:dot)\]| (?i:dot) |\.[A-Za-z0-9-])")
@@ -164,13 +165,29 @@ def _beside(before: str, after: str) -> list[float]:
     return [float(len(left[1]) if left else 0), float(len(right[1]) if right else 0), float(bool(left) and (left[1].startswith("00") or left[0].startswith("+")))]
 
 
+_WORD_DOT, _SHUT_DOT = re.compile(r" (?i:dot) "), re.compile(r"[(\[](?i:dot)[)\]]")
+_AROUND_AT = re.compile(_AT)
+
+
+def _mail(span: str) -> list[float]:
+    """How an address writes its marks, and the sizes of its parts."""
+    at = _AROUND_AT.search(span)
+    if at is None:
+        return [0.0] * 10
+    mark, local, domain = at[0].strip(), span[: at.start()].strip(), span[at.end() :].strip()
+    last = re.split(r"[^A-Za-z0-9-]+", domain)[-1]
+    return [
+        float(mark == "@"), float(mark[:1] in "([{"), float(mark.isupper()), float(len(_WORD_DOT.findall(domain))), float(len(_SHUT_DOT.findall(domain))),
+        float(domain.count(".")), float(len(last)), float(last.isalpha()), float(len(local)), float(any(not c.isalpha() for c in local)),
+    ]
+
+
 def features(kind: str, text: str, start: int, end: int) -> list[float]:
     """Format of the span, and what stands around it."""
     span, before, after = text[start:end], text[max(0, start - AROUND) : start].lower(), text[end : end + AROUND]
     digits, groups = _digits(span), re.findall(r"[0-9]+", span)
     near = before[-12:] + after[:12]
     return [
-        *[float(kind == k) for k in KINDS],
         len(span), len(digits), len(groups), len(digits) / len(span),
         float(13 <= len(digits) <= 19 and luhn(digits)),
         float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
@@ -181,6 +198,8 @@ def features(kind: str, text: str, start: int, end: int) -> list[float]:
         sum("0" <= c <= "9" for c in near), float(bool(before) and before[-1] in "$€£#"), float(after[:1] in ("%", "€", "$")),
         float(bool(re.match(r"(?:19|20)[0-9]{2}[-/.][01]?[0-9]|[0-3]?[0-9][-/.][01]?[0-9][-/.](?:19|20)", span))),
         *_beside(before, after),
+        *(_mail(span) if kind == "email" else ()),
+        float(len({re.sub(r"[0-9]+", "", x) for x in re.findall(r"[0-9]+[^0-9]+", span)}) == 1), sum(len(g) * 20**k for k, g in enumerate(groups[:4])),
     ]
 
 
@@ -211,33 +230,37 @@ def _leaves(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
-    leaf = float(rate * g.sum() / (h.sum() + 1.0))
-    if depth == 0 or len(x) < 20:
+_BINS = 16
+
+
+def _grow(bins: np.ndarray, edges: list[np.ndarray], rows: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
+    """A tree over ``rows``. ``bins``: the bin of each row by feature, numbered on over the features."""
+    leaf = float(rate * g[rows].sum() / (h[rows].sum() + 1.0))
+    if depth == 0 or len(rows) < 20:
         return leaf
-    best, gain = None, 1e-3
-    whole = g.sum() ** 2 / (h.sum() + 1)
-    for f in range(x.shape[1]):
-        for cut in np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 13))):
-            go = x[:, f] <= cut
-            if 5 <= go.sum() <= len(x) - 5:
-                now = g[go].sum() ** 2 / (h[go].sum() + 1) + g[~go].sum() ** 2 / (h[~go].sum() + 1) - whole
-                if now > gain:
-                    best, gain = (f, float(cut), go), now
-    if best is None:
+    own, shape = bins[rows].ravel(), (len(edges), _BINS)
+    sums = [np.bincount(own, weights=np.repeat(w, shape[0]), minlength=shape[0] * _BINS).reshape(shape).cumsum(axis=1) for w in (g[rows], h[rows], np.ones(len(rows)))]
+    (gl, hl, nl), whole = sums, [x[0, -1] for x in sums]
+    gain = gl**2 / (hl + 1) + (whole[0] - gl) ** 2 / (whole[1] - hl + 1) - whole[0] ** 2 / (whole[1] + 1)
+    gain = np.where((nl >= 5) & (nl <= whole[2] - 5), gain, 0)
+    f, cut = np.unravel_index(gain.argmax(), shape)
+    if gain[f, cut] <= 1e-3:
         return leaf
-    f, cut, go = best
-    return (f, cut, _grow(x[go], g[go], h[go], depth - 1, rate), _grow(x[~go], g[~go], h[~go], depth - 1, rate))
+    go = bins[rows, f] <= f * _BINS + cut
+    grown = [_grow(bins, edges, part, g, h, depth - 1, rate) for part in (rows[go], rows[~go])]
+    return (int(f), float(edges[f][cut]), *grown)
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate: float = 0.3) -> Trees:
-    """Gradient boosting of the logistic loss."""
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3) -> Trees:
+    """Gradient boosting of the logistic loss, over bins of each feature. The sample is bounded, so one process does."""
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     model = Trees(float(np.log(share / (1 - share))), [])
+    edges = [np.unique(np.quantile(x[:, f], np.linspace(0.03, 0.97, _BINS - 1))) for f in range(x.shape[1])]
+    bins = np.stack([np.searchsorted(e, x[:, f], side="left") + f * _BINS for f, e in enumerate(edges)], axis=1)
     z = np.full(len(x), model.start)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
-        model.trees.append(_grow(x, y - p, p * (1 - p), depth, rate))
+        model.trees.append(_grow(bins, edges, np.arange(len(x)), y - p, p * (1 - p), depth, rate))
         z += _leaves(model.trees[-1], x)
     return model
 
@@ -245,20 +268,33 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 30, depth: int = 3, rate:
 # examples
 
 
+# How the marks of an address are written, and what parts the groups of numbers.
+_ATS = ["(at)", " (at) ", "[at]", " [at] ", "{at}", " at ", " AT ", " @ ", "(AT)"]
+_DOTS = [".", "(dot)", " (dot) ", "[dot]", " [dot] ", " dot ", " DOT "]
+_IP_DOTS = ["[.]", " dot ", "[dot]", "(dot)", " . "]
+_CARD_GAPS = [".", "/", "  ", "_", " - ", " / "]
+_COUNTRIES = ["1", "44", "49", "33", "34", "47"]
+
+
 def _rewritten(kind: str, span: str, rng: random.Random) -> str | None:
     """The same datum in a format that the base patterns miss."""
     d = _digits(span)
     if kind == "email":
-        at, dot = rng.choice([("(at)", "."), (" [at] ", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), (" AT ", " DOT "), ("(AT)", ".")])
+        at = rng.choice(_ATS)
+        dot = rng.choice(_DOTS if at.strip() not in ("at", "AT") else [x for x in _DOTS if x.strip("( )[]").lower() == "dot"] + ["."])
         name, _, domain = span.partition("@")
         return name + at + domain.replace(".", dot)
     if kind == "ip":
-        return rng.choice(["[.]", " dot ", "[dot]"]).join(span.split("."))
+        return rng.choice(_IP_DOTS).join(span.split("."))
     if kind == "card" and len(d) == 16:
-        return rng.choice([".", "/", "  "]).join(d[k : k + 4] for k in range(0, 16, 4))
+        return rng.choice(_CARD_GAPS).join(d[k : k + 4] for k in range(0, 16, 4))
     if kind == "phone" and len(d) >= 10:
-        n = d[-10:]
-        return rng.choice([f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}", f"{n[:3]}.{n[3:6]}.{n[6:]}", f"00{d[:-10]} {n[:3]} {n[3:6]} {n[6:]}"])
+        a, b, c = d[-10:-7], d[-7:-4], d[-4:]
+        country = rng.choice(_COUNTRIES)
+        return rng.choice([
+            f"({a}) {b}-{c}", f"({a}) {b} {c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}/{b}-{c}", f"{a}/{b}{c}", f"({a}){b}-{c}",
+            f"00{country} {a} {b} {c}", f"00{country} {a} {b}{c}", f"00{country}-{a}-{b}-{c}", f"0{a} {b}{c}", f"0{a}/{b}{c}",
+        ])
     return None
 
 
@@ -285,7 +321,22 @@ def _innocent(rng: random.Random) -> str:
         f"{r(1950, 2030)}-{r(1, 13):02}-{r(1, 29):02}", f"{r(1, 29):02}.{r(1, 13):02}.{r(1950, 2030)}", f"{r(1, 13)}/{r(1, 29)}/{r(1950, 2030)}",
         f"{r(1950, 2030)} {r(1950, 2030)}", f"{r(10, 24)} {r(10, 60)} {r(10, 60)}", f"{r(1, 9)},{r(100, 999)},{r(100, 999)}", f"{r(10**12, 10**13)}", f"{r(10**9, 10**10)}",
         f"{r(10**15, 10**16)}", f"{r(1, 20)}.{r(0, 20)}.{r(0, 20)}.{r(256, 999)}", f"978-{r(0, 9)}-{r(10, 999)}-{r(10000, 99999)}-{r(0, 9)}", f"{r(100, 999)} {r(100, 999)} {r(100, 999)}",
-        f"{r(1000, 9999)} {r(1000, 9999)} {r(1000, 9999)} {r(1000, 9999)}", f"{r(10, 99)}-{r(10, 99)}", f"{r(100, 999)}.{r(100, 999)}", f"{r(1950, 2030)}/{r(10, 99)}", "meet at noon.", "at home.today",
+        f"{r(1000, 9999)} {r(1000, 9999)} {r(1000, 9999)} {r(1000, 9999)}", f"{r(10, 99)}-{r(10, 99)}", f"{r(100, 999)}.{r(100, 999)}", f"{r(1950, 2030)}/{r(10, 99)}",
+        f"{r(10, 100)} {r(10, 100)} {r(10, 100)} {r(10, 100)}", f"{r(100, 1000)} {r(10, 100)}", f"{r(1, 24)}:{r(10, 60)} {r(1, 29)}.{r(1, 13)}.{r(1950, 2030)}", f"{r(1, 50)} . {r(1, 50)} . {r(1, 50)}", f"v{r(1, 9)}.{r(1, 99)}.{r(1, 99)}.{r(1, 9999)}",
+        _phrase(rng), _phrase(rng), _phrase(rng), _phrase(rng), _phrase(rng), _phrase(rng),
+    ])
+
+
+def _word(rng: random.Random, least: int = 2, most: int = 9) -> str:
+    return "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(least, most)))
+
+
+def _phrase(rng: random.Random) -> str:
+    """Words with an "at" and a dot that are no address."""
+    a, b, c = _word(rng), _word(rng), _word(rng)
+    return rng.choice([
+        f"{a} at {b}.{c.title()}", f"{a} at {b}. {c}", f"{a} at {b}.{c}", f"{a} at the dot {c}", f"{a} at {b}-{c}.{_word(rng, 5, 12)}", f"{a} @ {rng.randrange(1, 99)}.{rng.randrange(10, 99)}",
+        f"{a} @ {rng.randrange(1, 99)}.50 each", f"{a} at {rng.randrange(1, 24)}.{rng.randrange(10, 60)}", f"{a} (at {b}.{c})", f"look at {b}.com", f"{a} at dot {b}",
     ])
 
 
@@ -293,7 +344,8 @@ def _made_up(rng: random.Random) -> tuple[str, str]:
     r = rng.randrange
     kind = rng.choice(KINDS)
     if kind == "email":
-        return kind, "".join(rng.choice("abcdefghiklmnoprstu") for _ in range(r(3, 9))) + f".{r(10, 99)}@mail{r(10)}.example.com"
+        name = _word(rng, 3) + rng.choice(["", "", f".{_word(rng)}", f"_{r(100)}", f"{r(100)}", f".{r(10, 99)}"])
+        return kind, f"{name}@{_word(rng, 3)}{rng.choice(['', '', f'-{_word(rng)}', f'{r(10)}', f'.{_word(rng)}'])}.{rng.choice(['com', 'org', 'net', 'de', 'fr', 'es', 'io', 'co.uk', 'info'])}"
     if kind == "ip":
         return kind, ".".join(str(r(1, 255)) for _ in range(4))
     if kind == "card":
@@ -302,25 +354,24 @@ def _made_up(rng: random.Random) -> tuple[str, str]:
     return kind, f"+1 ({r(200, 999)}) 555-{r(1000, 9999)}"
 
 
-def examples(spans: list[tuple[str, str, str, str]], seed: int = 23) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Kinds, features and labels, from (kind, before, span, after) and made-up data in the same surroundings."""
+def examples(spans: list[tuple[str, str, str, str]], seed: int = 23, made_up: int = 2000) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Features and labels by kind, from (kind, before, span, after) and made-up data in the same surroundings."""
     rng = random.Random(seed)
     around = [(b, a) for _, b, _, a in spans] or [("as it was said then ", " and so on")]
-    rows, labels, kinds = [], [], []
+    rows, labels = {k: [] for k in KINDS}, {k: [] for k in KINDS}
 
     def add(before: str, span: str, after: str, of: str | None) -> None:
         text = before + span + after
         for kind, a, b in candidates(text):
             if a < len(before) + len(span) and b > len(before):
                 right = kind == of and a == len(before) and b == len(before) + len(span)
-                rows.append(features(kind, text, a, b))
-                labels.append(float(right))
-                kinds.append(kind)
+                rows[kind].append(features(kind, text, a, b))
+                labels[kind].append(float(right))
 
-    made = [(k, *rng.choice(around), s) for k, s in (_made_up(rng) for _ in range(1200))]
+    made = [(k, *rng.choice(around), s) for k, s in (_made_up(rng) for _ in range(made_up))]
     for kind, before, after, span in [*((k, b, a, s) for k, b, s, a in spans), *made]:
         if (new := _rewritten(kind, span, rng)) is not None:
-            if rng.random() < 0.7:
+            if rng.random() < 0.5:
                 before = before[:-1] + " " + rng.choice(CUES[kind]).strip() + rng.choice([": ", " ", " is "])
             add(before, new, after, kind)
             for usual in (_plain(kind, span, rng), new if kind == "card" else None):
@@ -328,32 +379,45 @@ def examples(spans: list[tuple[str, str, str, str]], seed: int = 23) -> tuple[li
                     add(before, usual, f" {_adjoining(rng)} {after}", kind)
                     if rng.random() < 0.3:
                         add(f"{before}{_adjoining(rng)} ", usual, after, kind)
-    for _ in range(3 * len(made)):
+    for _ in range(2 * len(made)):
         before, after = rng.choice(around)
         if rng.random() < 0.4:
             before = before + rng.choice(AGAINST).strip() + " "
         add(before, _innocent(rng), after, None)
-    return kinds, np.array(rows), np.array(labels)
+    return {k: (np.array(rows[k], dtype=float), np.array(labels[k])) for k in KINDS}
 
 
 @dataclass
 class Model:
-    trees: Trees
+    trees: dict[str, Trees]
     thresholds: dict[str, float]
 
+    def score(self, text: str, found: list[tuple[str, int, int]]) -> np.ndarray:
+        out = np.zeros(len(found))
+        for kind in KINDS:
+            own = [k for k, c in enumerate(found) if c[0] == kind]
+            for k in range(0, len(own), _BLOCK):
+                part = own[k : k + _BLOCK]
+                out[part] = self.trees[kind].score(np.array([features(kind, text, *found[j][1:]) for j in part], dtype=float))
+        return out
+
 
 def fit(spans: list[tuple[str, str, str, str]], precision: float = PRECISION) -> Model:
-    kinds, x, y = examples(spans)
-    held = np.arange(len(y)) % 4 == 3
-    trees = boost(x[~held], y[~held])
-    p, thresholds = trees.score(x), {}
+    """``spans``: (kind, before, span, after). A quarter of them, by what stands before, is held out."""
+    apart = [hashlib.sha256(b.encode("utf-8", "surrogatepass")).digest()[0] % 4 == 3 for _, b, _, _ in spans]
+    learned = examples([x for x, h in zip(spans, apart, strict=True) if not h])
+    held = examples([x for x, h in zip(spans, apart, strict=True) if h], seed=29, made_up=1000)
+    trees, thresholds = {}, {}
     for kind in KINDS:
-        own = held & (np.array(kinds) == kind)
-        thresholds[kind] = 1.01  # nothing is added where the precision is out of reach
-        for t in sorted({0.5, *np.round(p[own], 3)}):
-            if t >= 0.5 and (got := own & (p >= t)).any() and y[got].mean() >= precision:
-                thresholds[kind] = float(max(t, 0.8))
-                break
+        trees[kind] = boost(*learned[kind])
+        x, y = held[kind]
+        p = trees[kind].score(x)
+        # from the top, the share that is right among all that score as much
+        order = np.argsort(-p, kind="stable")
+        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
+        good = np.flatnonzero((right >= precision) & (p[order] >= 0.5))
+        # nothing is added where the precision is out of reach
+        thresholds[kind] = float(p[order][good[-1]]) if len(good) else 1.01
     return Model(trees, thresholds)
 
 
@@ -384,7 +448,7 @@ def all_spans(model: Model, text: str, base: list[tuple[str, int, int]]) -> list
     taken, out = _Taken(base), list(base)
     found = [c for c in candidates(text) if not taken.meets(*c[1:])]
     if found:
-        p = np.concatenate([model.trees.score(np.array([features(kind, text, a, b) for kind, a, b in found[k : k + _BLOCK]])) for k in range(0, len(found), _BLOCK)])
+        p = model.score(text, found)
         for k in np.argsort(-p, kind="stable"):
             kind, a, b = found[k]
             if p[k] >= model.thresholds[kind] and not taken.meets(a, b):
