@@ -80,3 +80,17 @@ def test_odd_tables(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
             docs.collect()
+
+
+def test_empty_labels_and_one_id(spark, sf, tmp_path):
+    """Without labels nothing is rejected; a text that shares its doc_id with a copy stays."""
+    import shutil
+
+    for name in ("documents", "benchmark"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert corpus_pipeline.good(spark, docs, str(tmp_path)).count() == docs.count()
+    rows = spark.createDataFrame([(5, "A", "en", "s", 1), (5, "B", "en", "s", 1), (9, "A", "en", "s", 1), (2, "C", None, None, 1)], docs.schema)
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        assert {r["text"] for r in stage(spark, rows, sf).collect()} == {"A", "B", "C"}
