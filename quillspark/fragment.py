@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.functions.routines import TvfCall, Udf, UdfCall
 from quillspark.ids import Ident
 from quillspark.literals import literal
-from quillspark.partition import Day, Hour, Ignored, IntRange, NotPartitioned, PartitionId, Sharded, newest_first
+from quillspark.partition import Day, Hour, Ignored, IntRange, NotPartitioned, PartitionId, Sharded, Timed, newest_first
 from quillspark.tables import Fill, FilledTable, TableLike, View, WholeTable
 from quillspark.types import TypeOf
 
@@ -34,7 +34,7 @@ class Frag:
     @property
     def script(self) -> list[str]:
         """Statements that define the temporary functions, in order of need, and then the query."""
-        return [*(u.create_sql() for u in self.temporary_functions()), self.sql]
+        return [*(u.create_sql() for u in self.temporary_functions() if not u.untyped), self.sql]
 
     def run(self, spark: SparkSession) -> DataFrame:
         """The frame of the query; temporary functions are registered first."""
@@ -179,7 +179,7 @@ def _select(table: TableLike, partitions: list[PartitionId]) -> str:
         return " UNION ALL ".join(f"SELECT * FROM {p.table_id.sql}" for p in partitions)
     if scheme.column is None:
         return f"SELECT * FROM {table.id.sql}"
-    if isinstance(scheme, IntRange):
+    if isinstance(scheme, IntRange) or isinstance(scheme, Timed) and scheme.raw:
         where = " OR ".join(f"({scheme.predicate_sql(p.value)})" for p in partitions)
     elif len(partitions) == 1:
         where = scheme.predicate_sql(partitions[0].value)

@@ -19,7 +19,7 @@ MOST_PARAMS = 22
 
 @dataclass(frozen=True)
 class Param:
-    """A parameter; without a type it takes that of the first argument it gets."""
+    """A parameter. Without a type it takes that of its argument, in each call anew; only temporary SQL functions may have such."""
 
     name: str
     type: TypeOf | None = None
@@ -66,9 +66,15 @@ class Udf:
     def sql_name(self) -> str:
         return quote(self.name) if self.dataset is None else f"{quote(self.dataset.database)}.{quote(self.name)}"
 
+    @property
+    def untyped(self) -> bool:
+        return any(p.type is None for p in self.params)
+
     def __call__(self, *args) -> Frag:
         from quillspark.fragment import Frag
 
+        if self.untyped and (self.dataset is not None or not hasattr(self.body, "sql")):
+            raise TypeError(f"{self.name}: only temporary SQL functions may have parameters without types")
         return Frag((UdfCall(self, _arguments(self.name, self.params, args)),))
 
     def as_temporary(self) -> Udf:
@@ -85,8 +91,8 @@ class Udf:
         return f"CREATE OR REPLACE {kind} {self.sql_name}({params}) RETURNS {self.returns.ddl()} RETURN {self.body.sql}"
 
     def register(self, spark: SparkSession) -> None:
-        if self.body is None:
-            return
+        if self.body is None or self.temporary and self.untyped:
+            return  # a call of the latter holds the body
         if hasattr(self.body, "sql"):
             if not self.temporary:
                 for inner in self.body.functions():
@@ -106,7 +112,15 @@ class UdfCall:
 
     @property
     def sql(self) -> str:
-        return _called(self.udf.sql_name, self.udf.params, self.args)
+        if not self.udf.untyped:
+            return _called(self.udf.sql_name, self.udf.params, self.args)
+        from quillspark.fragment import _render
+
+        # each parameter is the variable of a lambda over an array of its argument, and so of any type
+        out = f"CAST({self.udf.body.sql} AS {self.udf.returns.ddl()})"
+        for p, a in reversed(list(zip(self.udf.params, self.args, strict=True))):
+            out = f"element_at(transform(array({_render(a)}), {quote(p.name)} -> {out}), 1)"
+        return out
 
 
 @dataclass(frozen=True)

@@ -2,17 +2,18 @@
 
 Keys match null-safely. Target rows with a match take the source's values, source rows
 without one are added, and all others stay. The target's partitions are pruned to those
-that the source has. It is two joins on the keys, which Spark can broadcast or split.
+that the source has. It is one full outer join on a struct of the keys, in which nulls
+are equal; the source is grouped by the same struct, so it is shuffled once, and a key
+that it has twice makes the job fail.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.errors import DuplicateKeys, SchemaMismatch
+from quillspark.errors import SchemaMismatch
+from quillspark.ids import quote
 from quillspark.partition import Day, IntRange, Month, Scheme
 
 #: Distinct partitions of a source that are listed to prune the target.
@@ -45,26 +46,28 @@ def _same(a: DataFrame, b: DataFrame) -> None:
         raise SchemaMismatch([f"source has {x}, target has {y}" for x, y in zip(of(a) + [None] * len(of(b)), of(b) + [None] * len(of(a)), strict=False) if x != y])
 
 
-def check_keys(source: DataFrame, keys: list[str]) -> None:
-    """Raise where a key occurs twice."""
-    twice = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1)
-    if twice:
-        raise DuplicateKeys(f"the source has several rows for {', '.join(f'{k} = {twice[0][k]}' for k in keys)}")
+#: Begins the message of a failure for a key that occurs twice.
+TWICE = "quillspark:twice:"
 
 
 def upsert(source: DataFrame, target: DataFrame, keys: list[str], scheme: Scheme | None = None, check: bool = True, prune: bool = False) -> DataFrame:
-    """The target after the merge; with ``prune``, only those of its partitions that the source has."""
+    """The target after the merge; with ``prune``, only those of its partitions that the source has.
+
+    With ``check``, the result fails where the source has a key twice; without, any one of its rows is taken.
+    """
     _same(source, target)
     if scheme is not None:
         keys = merge_keys(keys, scheme)
-    if check:
-        check_keys(source, keys)
     if prune and scheme is not None and (values := source_partitions(source, scheme)) is not None:
         target = target.where(in_partitions(scheme.column, values))
     cols = target.columns
-    s, t = source.withColumn("__quill_matched", F.lit(True)).alias("s"), target.alias("t")
-    on = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys])
-    values = [c for c in cols if c not in keys]
-    kept = t.join(s, on, "left").select(*[F.when(F.col("s.__quill_matched"), F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")).alias(c) if c in values else F.col(f"t.`{c}`") for c in cols])
-    added = s.join(t, on, "left_anti").select(*cols)
-    return kept.union(added)
+    key = F.struct(*[F.col(quote(k)) for k in keys])
+    row = F.struct(*[F.col(quote(c)) for c in cols])
+    new = source.groupBy(key.alias("__quill_key")).agg(F.first(row).alias("__quill_new"), F.count(F.lit(1)).alias("__quill_n"))
+    if check:
+        shown = F.concat(F.lit(f"{TWICE}the source has several rows for "), F.to_json("__quill_key"))
+        new = new.withColumn("__quill_new", F.when(F.col("__quill_n") == 1, F.col("__quill_new")).otherwise(F.raise_error(shown)))
+    old = target.select(key.alias("__quill_own"), row.alias("__quill_old"))
+    joined = old.join(new, F.col("__quill_own") == F.col("__quill_key"), "full_outer")
+    merged = F.when(F.col("__quill_key").isNotNull(), F.col("__quill_new")).otherwise(F.col("__quill_old"))
+    return joined.select(*[merged.getField(c).alias(c) for c in cols])

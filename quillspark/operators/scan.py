@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.fragment import by_table
-from quillspark.partition import IntRange, PartitionId, Scheme, Sharded
+from quillspark.partition import IntRange, PartitionId, Scheme, Sharded, Timed
 from quillspark.tables import TableLike
 
 
 def restrict(df: DataFrame, scheme: Scheme, value, bucket: bool = False) -> DataFrame:
-    """The rows of one partition. ``bucket``: the column holds raw values rather than the partition's own."""
+    """The rows of one partition. ``bucket``: the column holds instants rather than the partition's own value; a range of them is read."""
     scheme.check(value)
-    if not bucket or scheme.column is None or isinstance(scheme, IntRange):
-        return df.where(scheme.predicate(value))
-    return df.where(scheme.bucket(F.col(scheme.column)) == F.lit(scheme.point(value)))
+    if bucket and isinstance(scheme, Timed):
+        scheme = replace(scheme, raw=True)
+    return df.where(scheme.predicate(value))
 
 
 def scan_partition(spark: SparkSession, partition: PartitionId) -> DataFrame:
@@ -41,7 +42,7 @@ def scan_partitions(spark: SparkSession, partitions: Iterable[PartitionId], suff
                 frames.append(df.withColumn(suffix, F.lit(scheme.suffix(p.value))) if suffix else df)
         elif scheme.column is None:
             frames.append(table.frame(spark))
-        elif isinstance(scheme, IntRange):
+        elif isinstance(scheme, IntRange) or isinstance(scheme, Timed) and scheme.raw:
             frames.append(table.frame(spark).where(reduce(lambda a, b: a | b, [scheme.predicate(p.value) for p in own])))
         else:
             frames.append(table.frame(spark).where(F.col(scheme.column).isin([scheme.point(p.value) for p in own])))

@@ -52,27 +52,45 @@ class Scheme:
 
 
 @dataclass(frozen=True)
-class _Timed(Scheme):
+class Timed(Scheme):
+    """By time. ``raw``: the column holds instants rather than the partition's own value, and a partition is a range of them."""
+
     field: str
+    raw: bool = False
 
     def __post_init__(self):
         Ident(self.field)
 
+    def span(self, value) -> tuple[dt.datetime, dt.datetime]:
+        """First instant of the partition, and of the next one."""
+        raise NotImplementedError
+
     def point(self, value):
         """The value that the partition column holds."""
         return value
 
     def predicate(self, value) -> Column:
+        if self.raw:
+            low, high = (F.expr(literal(v)) for v in self.span(value))
+            return (F.col(self.field) >= low) & (F.col(self.field) < high)
         return F.col(self.field) == F.lit(self.point(value))
 
     def predicate_sql(self, value) -> str:
-        return f"{Ident(self.field).sql} = {literal(self.point(value))}"
+        column = Ident(self.field).sql
+        if self.raw:
+            low, high = self.span(value)
+            return f"{column} >= {literal(low)} AND {column} < {literal(high)}"
+        return f"{column} = {literal(self.point(value))}"
 
 
 @dataclass(frozen=True)
-class Hour(_Timed):
+class Hour(Timed):
     value_type, order = dt.datetime, 3
 
+    def span(self, value):
+        first = value.replace(minute=0, second=0, microsecond=0)
+        return first, first + dt.timedelta(hours=1)
+
     def suffix(self, value) -> str:
         return value.strftime("%Y%m%d%H")
 
@@ -84,9 +102,13 @@ class Hour(_Timed):
 
 
 @dataclass(frozen=True)
-class Day(_Timed):
+class Day(Timed):
     value_type, order = dt.date, 2
 
+    def span(self, value):
+        first = dt.datetime.combine(value, dt.time())
+        return first, first + dt.timedelta(days=1)
+
     def suffix(self, value) -> str:
         return value.strftime("%Y%m%d")
 
@@ -98,9 +120,13 @@ class Day(_Timed):
 
 
 @dataclass(frozen=True)
-class Month(_Timed):
+class Month(Timed):
     value_type, order = YearMonth, 4
 
+    def span(self, value):
+        first, after = value.first_day, dt.date(value.year + value.month // 12, value.month % 12 + 1, 1)
+        return dt.datetime.combine(first, dt.time()), dt.datetime.combine(after, dt.time())
+
     def point(self, value):
         return value.first_day
 

@@ -45,6 +45,11 @@ def events_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").withColumn("d", F.col("ts").cast("date"))
 
 
+def days_of(spark: SparkSession, sf_dir: str) -> list:
+    """The days that there are events of."""
+    return sorted(r[0] for r in events_by_day(spark, sf_dir).select("d").distinct().collect())
+
+
 def total(column: str) -> str:
     """An exact sum of amounts, the same in any order."""
     return f"CAST(SUM(CAST({column} AS DECIMAL(18, 2))) AS DOUBLE)"

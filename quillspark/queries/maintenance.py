@@ -13,7 +13,7 @@ from quillspark.ids import DatasetRef, ProjectId, TableId
 from quillspark.partition import Day, IntRange, Sharded
 from quillspark.plans import analysis, conforms, deploy
 from quillspark.plans.catalog import Catalog
-from quillspark.queries.base import Registry, events_by_day, read, total, view
+from quillspark.queries.base import Registry, days_of, events_by_day, read, total, view
 from quillspark.queries.writing import _clear, _fresh
 from quillspark.sources.load import Disposition, load_hashed, write
 from quillspark.sources.partitions import list_partitions
@@ -24,18 +24,18 @@ from quillspark.testkit.checks import example_tables
 from quillspark.types import Field, Mode, Schema, Type, TypeOf
 
 R = Registry()
-_DAYS = [dt.date(2024, 1, d) for d in (3, 4, 5)]
+_DAY = dt.date(2024, 1, 3)
 _LONG = TypeOf(Mode.NULLABLE, Type.INT64)
 _FIELDS = (Field("event_id", Type.INT64), Field("event_type", Type.STRING), Field("d", Type.DATE))
 
 
 def _loaded(spark, sf, name, key="upkeep"):
     table = _fresh(spark, name, Day("d"), *_FIELDS, key=key)
-    write(events_by_day(spark, sf).select("event_id", "event_type", "d").where(F.col("d").isin(_DAYS)), table, Disposition.APPEND)
+    write(events_by_day(spark, sf).select("event_id", "event_type", "d"), table, Disposition.APPEND)
     return table
 
 
-_COUNTS = "SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-03', DATE '2024-01-04', DATE '2024-01-05') GROUP BY 1"
+_COUNTS = "SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events GROUP BY 1"
 
 
 @R.add(_COUNTS)
@@ -50,7 +50,7 @@ def shard_listing(spark, sf):
     table = Table(TableId(DatasetRef(ProjectId("quill-tests"), "upkeep"), "sharded"), Sharded(), Schema(_FIELDS[:2]))
     Catalog(spark).create_dataset(table.id.dataset)
     events = events_by_day(spark, sf)
-    for day in _DAYS:
+    for day in days_of(spark, sf):
         p = table.partition(day)
         spark.sql(f"DROP TABLE IF EXISTS {p.table_id.sql}")
         _clear(spark, table.id.dataset, p.table_id.spark_name)
@@ -109,7 +109,7 @@ def lineage_report(spark, sf):
 
     base, other = table("base", Day("d")), table("other", IntRange("event_id"))
     v = View(TableId.of("my-project", "ds", "joined"), Day("d"), query=frag("SELECT * FROM {a} JOIN {b} USING (event_id)", a=base.unpartitioned, b=other.whole_table))
-    found = frag("SELECT * FROM {v}", v=v.partition(_DAYS[0])).partitions()
+    found = frag("SELECT * FROM {v}", v=v.partition(_DAY)).partitions()
     return spark.createDataFrame([(p.table.id.table, str(getattr(p, "value", "all"))) for p in found], "source string, part string")
 
 
@@ -136,7 +136,7 @@ def conformance_report(spark, sf):
 def static_example_rows(spark, sf):
     """A query over one made-up row of each table it reads."""
     table = Table(TableId.of("my-project", "ds", "events"), Day("d"), Schema(_FIELDS))
-    with example_tables(spark, frag("SELECT d, event_type, event_id FROM {p}", p=table.partition(_DAYS[0]))) as sql:
+    with example_tables(spark, frag("SELECT d, event_type, event_id FROM {p}", p=table.partition(_DAY))) as sql:
         rows = spark.sql(sql).collect()
     return spark.createDataFrame(rows, "d date, event_type string, event_id long")
 
@@ -169,7 +169,8 @@ def job_into_partitions(spark, sf):
     events = view(events_by_day(spark, sf).select("event_id", "event_type", "d"), "quill_events_day", Day("d"))
     table, client = _fresh(spark, "jobs", Day("d"), *_FIELDS, key="upkeep"), Client(spark)
     filled = FilledTable("fill_jobs", table, lambda day: frag("SELECT event_id, event_type, d FROM {p}", p=events.partition(day)))
-    for day in [*_DAYS, _DAYS[0]]:
+    days = days_of(spark, sf)
+    for day in [*days, days[0]]:
         fill = filled.with_date(day)
         client.submit(JobId(fill.job), fill.query, fill.destination, Disposition.TRUNCATE)
     return table.frame(spark).groupBy("d").agg(F.count("*").alias("n"))

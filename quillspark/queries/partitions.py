@@ -10,7 +10,7 @@ from quillspark.fragment import frag
 from quillspark.literals import YearMonth
 from quillspark.operators.scan import restrict, scan_partitions, scan_tables
 from quillspark.partition import Day, Hour, IntRange, Month, Sharded, Start
-from quillspark.queries.base import Registry, events_by_day, orders_by_day, read, total, view
+from quillspark.queries.base import Registry, events_by_day, read, total, view
 from quillspark.sources.partitions import distinct_partitions, row_counts
 
 R = Registry()
@@ -26,21 +26,20 @@ def scan_whole_table(spark, sf):
 
 @R.add(f"SELECT {_ORDERS} FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-01-02'")
 def partition_date_single(spark, sf):
-    orders = view(orders_by_day(spark, sf), "quill_orders_day", Day("d"))
+    orders = view(read(spark, sf, "orders"), "quill_orders", Day("o_orderdate", raw=True))
     return frag(f"SELECT {_ORDERS} FROM {{p}}", p=orders.partition(dt.date(1995, 1, 2))).run(spark)
 
 
 @R.add(f"SELECT {_ORDERS} FROM orders WHERE CAST(o_orderdate AS DATE) IN (DATE '1995-01-02', DATE '1996-03-04', DATE '1998-07-20')")
 def partition_date_multi(spark, sf):
-    orders = view(orders_by_day(spark, sf), "quill_orders_day", Day("d"))
+    orders = view(read(spark, sf, "orders"), "quill_orders", Day("o_orderdate", raw=True))
     days = [dt.date(1995, 1, 2), dt.date(1996, 3, 4), dt.date(1998, 7, 20), dt.date(1995, 1, 2)]
     return frag(f"SELECT {_ORDERS} FROM {{ps}}", ps=[orders.partition(d) for d in days]).run(spark)
 
 
 @R.add("SELECT event_id, user_id, event_type FROM events WHERE date_trunc('hour', ts) = TIMESTAMP '2024-01-03 05:00:00'")
 def partition_hour_single(spark, sf):
-    events = read(spark, sf, "events").withColumn("h", Hour("h").bucket(F.col("ts")))
-    table = view(events, "quill_events_hour", Hour("h"))
+    table = view(read(spark, sf, "events"), "quill_events_all", Hour("ts", raw=True))
     return frag("SELECT event_id, user_id, event_type FROM {p}", p=table.partition(dt.datetime(2024, 1, 3, 5))).run(spark)
 
 
@@ -52,8 +51,7 @@ def partition_hour_bucketed(spark, sf):
 
 @R.add(f"SELECT {_ORDERS} FROM orders WHERE date_trunc('month', o_orderdate) = DATE '1995-02-01'")
 def partition_month_single(spark, sf):
-    orders = read(spark, sf, "orders").withColumn("m", Month("m").bucket(F.col("o_orderdate")))
-    table = view(orders, "quill_orders_month", Month("m"))
+    table = view(read(spark, sf, "orders"), "quill_orders", Month("o_orderdate", raw=True))
     return frag(f"SELECT {_ORDERS} FROM {{p}}", p=table.partition(YearMonth(1995, 2))).run(spark)
 
 
@@ -77,8 +75,8 @@ def partition_range_bucket(spark, sf):
 @R.add("""SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1995-01-02'
     UNION ALL SELECT event_id, event_type FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-03'""")
 def partition_multi_table_union(spark, sf):
-    a = view(orders_by_day(spark, sf).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), "d"), "quill_union_a", Day("d"))
-    b = view(events_by_day(spark, sf).select(F.col("event_id").alias("k"), F.col("event_type").alias("v"), "d"), "quill_union_b", Day("d"))
+    a = view(read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"), "o_orderdate"), "quill_union_a", Day("o_orderdate", raw=True))
+    b = view(read(spark, sf, "events").select(F.col("event_id").alias("k"), F.col("event_type").alias("v"), "ts"), "quill_union_b", Day("ts", raw=True))
     return frag("SELECT k, v FROM {ps}", ps=[a.partition(dt.date(1995, 1, 2)), b.partition(dt.date(2024, 1, 3))]).run(spark)
 
 

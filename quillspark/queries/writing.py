@@ -12,7 +12,7 @@ from quillspark.ids import DatasetRef, ProjectId, TableId
 from quillspark.operators.merge import upsert
 from quillspark.partition import Day, IntRange
 from quillspark.plans.catalog import Catalog
-from quillspark.queries.base import Registry, events_by_day, read, total, view
+from quillspark.queries.base import Registry, days_of, events_by_day, read, total, view
 from quillspark.sources.extract import Csv, Format, JsonLines, Parquet, extract, read_back
 from quillspark.sources.load import Disposition, load_rows, merge_into, run_fill, write
 from quillspark.tables import FilledTable, Table
@@ -36,20 +36,18 @@ def merge_upsert_single_key(spark, sf):
     return upsert(source, target, ["c_custkey"])
 
 
-_KEYED = "SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k1, CASE WHEN c_custkey % 50 = 0 THEN c_custkey ELSE c_nationkey END AS k2, {v} AS v FROM customer WHERE {w}"
+# every 50th key is null, and the keys of the source are shifted
+_KEYED = "SELECT CASE WHEN (c_custkey + {shift}) % 50 = 0 THEN NULL ELSE c_custkey + {shift} END AS k1, CASE WHEN (c_custkey + {shift}) % 50 = 0 THEN c_custkey + {shift} ELSE (c_custkey + {shift}) % 25 END AS k2, '{word} ' || c_name AS v FROM {table}"
 
 
-@R.add(f"""WITH t AS ({_KEYED.format(v="'old ' || c_name", w='c_custkey % 2 = 0')}), s AS ({_KEYED.format(v="'new ' || c_name", w='c_custkey % 5 = 0')})
+@R.add(f"""WITH t AS ({_KEYED.format(word="old", shift=0, table="customer")}), s AS ({_KEYED.format(word="new", shift=75, table="customer")})
     SELECT coalesce(s.k1, t.k1) AS k1, coalesce(s.k2, t.k2) AS k2, CASE WHEN s.v IS NOT NULL THEN s.v ELSE t.v END AS v
     FROM t FULL JOIN s ON t.k1 IS NOT DISTINCT FROM s.k1 AND t.k2 IS NOT DISTINCT FROM s.k2""")
 def merge_upsert_composite_nullable(spark, sf):
     view(read(spark, sf, "customer"), "quill_customer")
 
-    def side(word, where):
-        return spark.sql(f"""SELECT CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE c_custkey END AS k1,
-            CASE WHEN c_custkey % 50 = 0 THEN c_custkey ELSE c_nationkey END AS k2, '{word} ' || c_name AS v FROM quill_customer WHERE {where}""")
-
-    return upsert(side("new", "c_custkey % 5 = 0"), side("old", "c_custkey % 2 = 0"), ["k1", "k2"])
+    side = lambda word, shift: spark.sql(_KEYED.format(word=word, shift=shift, table="quill_customer"))
+    return upsert(side("new", 75), side("old", 0), ["k1", "k2"])
 
 
 @R.add("""SELECT event_id, CAST(ts AS DATE) AS d, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE event_type END AS event_type FROM events
@@ -94,13 +92,13 @@ def _clear(spark, dataset: DatasetRef, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-@R.add("SELECT event_type, count(*) AS n FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-03', DATE '2024-01-04') GROUP BY 1")
+@R.add("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def load_roundtrip_partition(spark, sf):
     table = _fresh(spark, "loaded", Day("d"), Field("event_id", Type.INT64, Mode.REQUIRED), Field("event_type", Type.STRING), Field("d", Type.DATE))
     events = events_by_day(spark, sf).select("event_id", "event_type", "d")
-    for day in (dt.date(2024, 1, 3), dt.date(2024, 1, 4)):
-        for _ in range(2):  # the second replaces the first
-            write(events.where(F.col("d") == F.lit(day)), table.partition(day), Disposition.TRUNCATE)
+    days = days_of(spark, sf)
+    for day in [*days, *days[:2]]:  # the second write of a day replaces the first
+        write(events.where(F.col("d") == F.lit(day)), table.partition(day), Disposition.TRUNCATE)
     return table.frame(spark).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
@@ -138,23 +136,23 @@ def extract_roundtrip_parquet(spark, sf):
     return _extract(spark, sf, Parquet(), "zstd")
 
 
-@R.add("SELECT event_type, count(*) AS n, CAST(ts AS DATE) AS d FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12' GROUP BY 1, 3")
+@R.add("SELECT event_type, count(*) AS n, CAST(ts AS DATE) AS d FROM events GROUP BY 1, 3")
 def fill_daily_summary(spark, sf):
     events = view(events_by_day(spark, sf), "quill_events_day", Day("d"))
     table = _fresh(spark, "daily", Day("d"), Field("event_type", Type.STRING), Field("n", Type.INT64), Field("d", Type.DATE))
     filled = FilledTable("daily", table, lambda day: frag("SELECT event_type, count(*) AS n, d FROM {p} GROUP BY event_type, d", p=events.partition(day)))
-    days = [dt.date(2024, 1, d) for d in (10, 11, 12)]
+    days = days_of(spark, sf)
     for day in days:
         run_fill(spark, filled.with_date(day))
     return frag("SELECT event_type, n, d FROM {fills}", fills=[filled.with_date(d) for d in days]).run(spark)
 
 
 @R.add("""SELECT event_id, CASE WHEN event_id % 4 = 0 AND CAST(ts AS DATE) = DATE '2024-01-06' THEN 'new' ELSE event_type END AS event_type, CAST(ts AS DATE) AS d
-    FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-07'""")
+    FROM events""")
 def merge_into_table(spark, sf):
     table = _fresh(spark, "merged", Day("d"), Field("event_id", Type.INT64), Field("event_type", Type.STRING), Field("d", Type.DATE))
     events = events_by_day(spark, sf).select("event_id", "event_type", "d")
-    write(events.where(F.col("d").between(dt.date(2024, 1, 5), dt.date(2024, 1, 7))), table, Disposition.EMPTY)
+    write(events, table, Disposition.EMPTY)
     new = events.where((F.col("d") == F.lit(dt.date(2024, 1, 6))) & (F.col("event_id") % 4 == 0)).withColumn("event_type", F.lit("new"))
     merge_into(new, table, ["event_id"])
     return table.frame(spark)

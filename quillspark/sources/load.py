@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 from enum import Enum
@@ -12,11 +13,12 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.errors import QuillError, RequiredNull, SchemaMismatch
+from quillspark.errors import DuplicateKeys, QuillError, RequiredNull, SchemaMismatch
 from quillspark.functions.hashing import hashed
-from quillspark.ids import quote
+from quillspark.ids import TableId, quote
 from quillspark.literals import literal
-from quillspark.operators.merge import upsert
+from quillspark.operators.merge import TWICE, in_partitions, upsert
+from quillspark.operators.scan import scan_partition
 from quillspark.partition import IntRange, PartitionId, Sharded
 from quillspark.tables import Fill, Table
 from quillspark.types import Mode, Schema
@@ -61,12 +63,56 @@ def guarded(df: DataFrame, schema: Schema, partition: PartitionId | None = None)
     return df.select(*cols)
 
 
+def _own_name(id: TableId, what: str) -> str:
+    """A name beside the table's, of this call alone."""
+    return id.with_table(f"{id.table}__{what}_{uuid.uuid4().hex}").sql
+
+
+@contextmanager
+def staged(df: DataFrame, id: TableId, what: str):
+    """``df`` written to a table of its own beside ``id``, which is dropped at the end."""
+    spark, name = df.sparkSession, _own_name(id, what)
+    try:
+        df.write.saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@contextmanager
+def _dynamic(spark: SparkSession):
+    """Overwriting replaces only the partitions that are written."""
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _replace(df: DataFrame, table: Table, stale: list) -> None:
+    """Overwrite the partitions that ``df``, at rest, has rows of, and then drop those of ``stale`` that it has none of."""
+    spark, column = df.sparkSession, table.partitioning.column
+    df = df.select(*[quote(c) for c in spark.table(table.id.sql).columns])
+    if column is None:
+        df.write.insertInto(table.id.sql, overwrite=True)
+        return
+    with _dynamic(spark):
+        df.write.insertInto(table.id.sql, overwrite=True)
+    have = {r[0] for r in df.select(quote(column)).distinct().collect()}
+    for v in [v for v in stale if v not in have]:
+        spark.sql(f"ALTER TABLE {table.id.sql} DROP IF EXISTS PARTITION ({quote(column)} = {'NULL' if v is None else literal(v)})")
+
+
 @contextmanager
 def _told():
     """What a guard says, as an error of ours."""
     try:
         yield
     except Exception as e:
+        if twice := re.search(rf"{TWICE}(.*)", str(e)):
+            raise DuplicateKeys(twice[1]) from e
         found = re.search(rf"{_MARK}(null|outside):([^;]*);", str(e))
         if found is None:
             raise
@@ -105,17 +151,17 @@ def _write(df: DataFrame, table: Table, partition: PartitionId | None, dispositi
         df.write.insertInto(table.id.sql, overwrite=True)
     elif isinstance(partition.scheme, IntRange) and partition.scheme.window(partition.value) != (partition.value, partition.value):
         # a window of several values: those that the new rows lack go too
-        low, high = partition.scheme.window(partition.value)
-        spec = quote(partition.scheme.column)
-        for (v,) in table.frame(spark).where(F.col(spec).between(low, high)).select(spec).distinct().collect():
-            spark.sql(f"ALTER TABLE {table.id.sql} DROP IF EXISTS PARTITION ({spec} = {literal(v)})")
-        df.write.insertInto(table.id.sql)
+        column = quote(partition.scheme.column)
+        stale = [v for (v,) in table.frame(spark).where(partition.scheme.predicate(partition.value)).select(column).distinct().collect()]
+        with staged(df, table.id, "writing") as rows:
+            _replace(rows, table, stale)
     else:
         point = literal(getattr(partition.scheme, "point", lambda v: v)(partition.value))
-        df.createOrReplaceTempView("__quill_write")
+        view = f"__quill_write_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(view)
         rest = ", ".join(quote(c) for c in df.columns if c != partition.scheme.column)
-        spark.sql(f"INSERT OVERWRITE TABLE {table.id.sql} PARTITION ({quote(partition.scheme.column)} = {point}) SELECT {rest} FROM __quill_write")
-        spark.catalog.dropTempView("__quill_write")
+        spark.sql(f"INSERT OVERWRITE TABLE {table.id.sql} PARTITION ({quote(partition.scheme.column)} = {point}) SELECT {rest} FROM {view}")
+        spark.catalog.dropTempView(view)
 
 
 def _write_whole(df: DataFrame, name: str, disposition: Disposition, spark: SparkSession) -> None:
@@ -127,22 +173,39 @@ def _write_whole(df: DataFrame, name: str, disposition: Disposition, spark: Spar
         df.write.saveAsTable(name)
 
 
+#: Python rows that are held here at once.
+ROWS = 50_000
+
+
 def load_rows(spark: SparkSession, destination: Table | PartitionId, rows: Iterable[dict], disposition: Disposition = Disposition.APPEND) -> int | None:
-    """Load Python rows; fields that are missing are null. None where there are no rows at all."""
-    rows = iter(rows)
-    first = next(rows, None)
-    if first is None:
-        return None
+    """Load Python rows; fields that are missing are null. None where there are no rows at all.
+
+    More than ``ROWS`` are put into a staging table part by part, and go to the destination in one write.
+    """
     table = destination.table if isinstance(destination, PartitionId) else destination
     schema = table.schema.to_spark()
-    # rows go in as JSON lines, in bounded parts
-    whole, n = None, 0
-    for part in itertools.batched(itertools.chain([first], rows), 50_000):
+
+    def frame(part) -> DataFrame:
+        # rows go in as JSON lines
         lines = spark.createDataFrame([(json.dumps({k: v for k, v in r.items() if v is not None}, default=str),) for r in part], "line string")
-        df = lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
-        whole = df if whole is None else whole.union(df)
-        n += len(part)
-    write(whole, destination, disposition)
+        return lines.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+    parts = itertools.batched(rows, ROWS)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return None
+    if second is None:
+        write(frame(first), destination, disposition)
+        return len(first)
+    n, name = len(first), _own_name(table.id, "loading")
+    try:
+        frame(first).write.saveAsTable(name)
+        for part in itertools.chain([second], parts):
+            frame(part).write.insertInto(name)
+            n += len(part)
+        write(spark.table(name), destination, disposition)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return n
 
 
@@ -164,24 +227,61 @@ def run_fill(spark: SparkSession, fill: Fill, disposition: Disposition = Disposi
     write(fill.query.run(spark), fill.destination, disposition)
 
 
-def merge_into(source: DataFrame, target: Table, keys: list[str]) -> None:
+def merge_into(source: DataFrame | PartitionId, target: Table | PartitionId, keys: list[str]) -> None:
     """Upsert into a table in the catalog, which may not be the source's own.
 
-    The result is kept in a staging table first, as Spark cannot overwrite what it reads;
-    then only the partitions that the source has are replaced.
+    The source may be a partition of another table, and the target one partition, which
+    then must hold all rows of the source; both need a table with a schema. The result is
+    kept in a staging table first, as Spark cannot overwrite what it reads; then only the
+    partitions that the source has are replaced.
     """
+    from pyspark.sql import SparkSession
+
+    partition = target if isinstance(target, PartitionId) else None
+    table = partition.table if partition else target
+    own = source.table if isinstance(source, PartitionId) else None
+    if any(t is not None and not isinstance(t, Table) for t in (table, own)):
+        raise TypeError("only tables with a schema can be merged")
+    if isinstance(source, PartitionId):
+        source = scan_partition(SparkSession.getActiveSession(), source)
+    rows = align(source, table.schema)
+    if partition:
+        rows = guarded(rows, table.schema, partition)
     spark = source.sparkSession
-    merged = upsert(align(source, target.schema), target.frame(spark), keys, target.partitioning, prune=True)
-    staging = f"{target.id.sql[:-1]}__merging`"
-    merged.write.mode("overwrite").saveAsTable(staging)
-    try:
-        order = [quote(c) for c in spark.table(target.id.sql).columns]
-        staged = spark.table(staging).select(*order)
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            staged.write.insertInto(target.id.sql, overwrite=True)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    with _told():
+        merged = upsert(rows, table.frame(spark), keys, table.partitioning, prune=True)
+        with staged(merged, table.id, "merging") as result:
+            _replace(result, table, [])
+
+
+def _rewrite(table: Table, condition: Column, change) -> None:
+    """Rewrite the partitions that have rows for which ``condition`` holds."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    frame, column = table.frame(spark), table.partitioning.column
+    touched = [None]
+    if column:
+        touched = [r[0] for r in frame.where(condition).select(quote(column)).distinct().collect()]
+        frame = frame.where(in_partitions(column, touched)) if touched else frame.limit(0)
+    if touched:
+        with staged(change(frame, F.coalesce(condition, F.lit(False))), table.id, "rewriting") as rows:
+            _replace(rows, table, touched if column else [])
+
+
+def delete_where(table: Table, condition: Column) -> None:
+    """Remove the rows for which ``condition`` holds, by writing the partitions anew that have any."""
+    _rewrite(table, condition, lambda rows, hit: rows.where(~hit))
+
+
+def update_where(table: Table, condition: Column, values: dict[str, Column]) -> None:
+    """Set columns, though not the partition column, in the rows for which ``condition`` holds."""
+    if table.partitioning.column in values:
+        raise QuillError(f"{table.partitioning.column} says which partition a row is in and cannot be set")
+
+    def change(rows: DataFrame, hit: Column) -> DataFrame:
+        new = {c: F.when(hit, v).otherwise(F.col(quote(c))) for c, v in values.items()}
+        return guarded(align(rows.withColumns(new), table.schema), table.schema)
+
+    with _told():
+        _rewrite(table, condition, change)

@@ -54,22 +54,22 @@ def _value(scheme: Scheme, raw):
     return raw
 
 
-def _files(spark: SparkSession, path: str) -> dict[str, Metadata]:
-    """Age and size of the files in each folder right below ``path``, and under "" of all; one listing."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
-    root, found = folder.toUri().getPath().rstrip("/"), {"": []}
-    while files.hasNext():
-        f = files.next()
-        inner = f.getPath().toUri().getPath().removeprefix(root).strip("/").split("/")
-        if not inner[-1].startswith(("_", ".")):
-            one = (f.getModificationTime(), f.getLen())
-            found[""].append(one)
-            if len(inner) > 1:
-                found.setdefault(inner[0], []).append(one)
-    at = lambda ms: dt.datetime.fromtimestamp(ms / 1000, dt.UTC)
-    return {k: Metadata(at(min(t for t, _ in v)), at(max(t for t, _ in v)), None, sum(n for _, n in v)) if v else Metadata(bytes=0) for k, v in found.items()}
+def _files(spark: SparkSession, paths: list[str]) -> dict[str, Metadata]:
+    """Age and size of the files in each of some folders, by the folder; Spark lists them and adds up, and opens none."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = [p for p in paths if (at := jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(conf).exists(at)]
+    if not there:
+        return {}
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there).select("path", "modificationTime", "length")
+    own = {jvm.org.apache.hadoop.fs.Path(p).toUri().getPath().rstrip("/"): p for p in there}
+    depth = len(next(iter(own)).split("/"))
+    # the path without its scheme, as deep as the folders are
+    plain = F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "")
+    folder = F.array_join(F.slice(F.split(plain, "/"), 1, depth), "/")
+    ms = F.unix_millis("modificationTime")
+    found = rows.groupBy(folder.alias("f")).agg(F.min(ms).alias("a"), F.max(ms).alias("b"), F.sum("length").alias("n")).collect()
+    at = lambda x: dt.datetime.fromtimestamp(x / 1000, dt.UTC)
+    return {own[r["f"]]: Metadata(at(r["a"]), at(r["b"]), None, r["n"]) for r in found if r["f"] in own}
 
 
 def _location(spark: SparkSession, table: TableLike) -> str | None:
@@ -80,7 +80,7 @@ def _location(spark: SparkSession, table: TableLike) -> str | None:
 def table_metadata(spark: SparkSession, table: TableLike, with_rows: bool = False) -> Metadata:
     """Of the table as a whole."""
     location = _location(spark, table)
-    found = _files(spark, location)[""] if location else Metadata()
+    found = _files(spark, [location]).get(location, Metadata(bytes=0)) if location else Metadata()
     rows = spark.table(table.id.sql).count() if with_rows else None
     return Metadata(found.created, found.modified, rows, found.bytes)
 
@@ -100,11 +100,13 @@ def list_partitions(spark: SparkSession, table: TableLike, start: Start = Start(
     listed: dict = {}
     location = None if isinstance(table, View) else _location(spark, table)
     if location and any(f.name == scheme.column for f in _partition_columns(spark, table)):
-        files = _files(spark, location)
         for row in spark.sql(f"SHOW PARTITIONS {table.id.sql}").collect():
             name, _, raw = row[0].partition("=")
-            if name == scheme.column and raw != "__HIVE_DEFAULT_PARTITION__":
-                listed[_value(scheme, unquote(raw))] = files.get(row[0], Metadata())
+            if name == scheme.column and raw != "__HIVE_DEFAULT_PARTITION__" and own.admits(value := _value(scheme, unquote(raw))):
+                listed[value] = f"{location.rstrip('/')}/{row[0]}"
+        # only the folders within the bound are looked into
+        files = _files(spark, list(listed.values()))
+        listed = {v: files.get(p, Metadata()) for v, p in listed.items()}
     else:
         for row in distinct_partitions(spark.table(table.id.sql), scheme, own).collect():
             listed[_value(scheme, row[0])] = Metadata()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark import Day, Field, IntRange, MaterializedView, Mode, Schema, Sharded, Table, TableId, Type, View, frag
 from quillspark.client import Client, JobId, Metrics, Retry
-from quillspark.errors import IllegalUpdate, JobTimeout, QuillError, RequiredNull, SchemaMismatch
+from quillspark.errors import DuplicateKeys, IllegalUpdate, JobTimeout, QuillError, RequiredNull, SchemaMismatch
 from quillspark.functions.routines import Param, Tvf, Udf
 from quillspark.ids import DatasetRef, ProjectId, TableLabels
 from quillspark.partition import Hour, Month, Start
@@ -14,7 +14,7 @@ from quillspark.plans import analysis, codegen, conforms, deploy
 from quillspark.plans.catalog import Catalog
 from quillspark.queries.base import events_by_day, view
 from quillspark.sources.extract import Avro, Csv, JsonLines, Parquet, extract
-from quillspark.sources.load import Disposition, load_hashed, load_json, load_rows, write
+from quillspark.sources.load import Disposition, delete_where, load_hashed, load_json, load_rows, merge_into, update_where, write
 from quillspark.sources.partitions import expire_partitions, list_partitions, table_metadata
 from quillspark.sources.temporary import copy_dataset, create_temporary, drop_expired, temporary_table
 from quillspark.tables import TableOptions
@@ -96,6 +96,76 @@ def test_tables_in_the_catalog(spark, catalog):
     assert catalog.table(t.id) is None
 
 
+def test_parts_of_structs_reach_the_catalog(spark, catalog):
+    of = lambda *names: Table(TableId(DS, "nested"), schema=Schema.of(Field("k", Type.INT64), Field.struct("s", *[Field(n, Type.INT64) for n in names])))
+    ensure = deploy.EnsureUpdated(catalog)
+    ensure.ensure(of("x"))
+    spark.sql("SELECT 1L AS k, named_struct('x', 2L) AS s").write.insertInto(TableId(DS, "nested").sql)
+    assert isinstance(ensure.ensure(of("x", "y")), deploy.Update) and isinstance(ensure.check(of("x", "y")), deploy.Noop)
+    assert spark.table(of("x").id.sql).schema["s"].dataType.simpleString() == "struct<x:bigint,y:bigint>"
+    spark.sql("SELECT 3L AS k, named_struct('x', 4L, 'y', 5L) AS s").write.insertInto(TableId(DS, "nested").sql)
+    assert sorted((r.k, r.s.x, r.s.y) for r in spark.table(of("x").id.sql).collect()) == [(1, 2, None), (3, 4, 5)]
+    # a column that the definition does not know shows
+    spark.sql(f"ALTER TABLE {of('x').id.sql} ADD COLUMNS (own STRING)")
+    assert catalog.table(of("x").id).schema.names == ["k", "s", "own"]
+
+
+def test_routines_outlive_the_session(spark, catalog):
+    long = TypeOf(Mode.NULLABLE, Type.INT64)
+    f = Udf("kept_udf", (Param("x", long),), frag("x + 1"), long, DS)
+    g = Tvf("kept_tvf", (Param("n", long),), frag("SELECT n AS a"), Schema.of(Field("a", Type.INT64)), DS, "numbers")
+    for r in (f, g):
+        deploy.EnsureUpdated(catalog).ensure(r)
+    other = Catalog(spark.newSession())
+    assert other.routine("kept_udf", DS) == f and other.routine("kept_tvf", DS) == g and other.routine("none", DS) is None
+    assert isinstance(deploy.EnsureUpdated(other).check(f), deploy.Noop)
+    assert isinstance(deploy.EnsureUpdated(other).check(Udf("kept_udf", f.params, frag("x + 2"), long, DS)), deploy.UpdateRoutine)
+    other.delete_routine("kept_udf", DS)
+    assert catalog.routine("kept_udf", DS) is None
+
+
+def test_parameters_without_types(spark):
+    same = Udf("same_twice", (Param("x"), Param("n", TypeOf(Mode.NULLABLE, Type.INT64))), frag("concat(x, '-', n)"), TypeOf(Mode.NULLABLE, Type.STRING))
+    row = frag("SELECT {a} AS a, {b} AS b, {c} AS c FROM range(1)", a=same("t", 1), b=same(frag("id + 5"), 2), c=same(dt.date(2024, 1, 2), 3)).run(spark).first()
+    assert tuple(row) == ("t-1", "5-2", "2024-01-02-3")
+    with pytest.raises(TypeError, match="without types"):
+        Udf("same_there", same.params, same.body, same.returns, DS)("t", 1)
+
+
+def test_deletes_updates_and_merges_of_partitions(spark, catalog):
+    t, s = defined("changed"), defined("changes")
+    for x in (t, s):
+        catalog.create_table(x)
+    load_rows(spark, t, [{"id": k, "t": "old", "d": f"2024-01-0{1 + k % 3}"} for k in range(9)] + [{"id": 9, "t": "old"}])
+    delete_where(t, F.col("id").isin(0, 3, 6, 1))
+    assert sorted(r.id for r in t.frame(spark).collect()) == [2, 4, 5, 7, 8, 9] and "d=2024-01-01" not in [r[0] for r in spark.sql(f"SHOW PARTITIONS {t.id.sql}").collect()]
+    update_where(t, F.col("id") > 7, {"t": F.lit("set")})
+    assert {r.id: r.t for r in t.frame(spark).collect()} == {2: "old", 4: "old", 5: "old", 7: "old", 8: "set", 9: "set"}
+    with pytest.raises(QuillError, match="cannot be set"):
+        update_where(t, F.lit(True), {"d": F.lit(None)})
+    delete_where(t, F.col("d").isNull())
+    load_rows(spark, s, [{"id": 4, "t": "new", "d": "2024-01-02"}, {"id": 40, "t": "new", "d": "2024-01-02"}, {"id": 5, "t": "no", "d": "2024-01-03"}])
+    merge_into(s.partition(dt.date(2024, 1, 2)), t.partition(dt.date(2024, 1, 2)), ["id"])
+    assert {r.id: r.t for r in t.frame(spark).collect()} == {2: "old", 4: "new", 40: "new", 5: "old", 7: "old", 8: "set"}
+    with pytest.raises(QuillError, match="outside"):
+        merge_into(s.partition(dt.date(2024, 1, 3)), t.partition(dt.date(2024, 1, 2)), ["id"])
+    with pytest.raises(DuplicateKeys, match="several rows"):
+        merge_into(s.frame(spark).union(s.frame(spark)), t, ["id"])
+    with pytest.raises(TypeError, match="schema"):
+        merge_into(view(s.frame(spark), "test_merge_ref", Day("d")).partition(D), t, ["id"])
+    assert not [x for x in catalog.list_tables(DS) if "__" in x.table]
+
+
+def test_rows_in_parts_go_in_by_one_write(spark, catalog, monkeypatch):
+    from quillspark.sources import load
+
+    monkeypatch.setattr(load, "ROWS", 3)
+    t = defined("parts")
+    catalog.create_table(t)
+    assert load_rows(spark, t, ({"id": k, "d": "2024-01-03"} for k in range(10)), Disposition.TRUNCATE) == 10
+    assert t.frame(spark).count() == 10 and not [x for x in catalog.list_tables(DS) if "loading" in x.table]
+
+
 def test_views_and_routines(spark, catalog):
     long = TypeOf(Mode.NULLABLE, Type.INT64)
     v = View(TableId(DS, "vv"), schema=Schema.of(Field("a", Type.INT64)), query=frag("SELECT 1L AS a"))
@@ -212,6 +282,25 @@ def test_client(spark, catalog, caplog):
     c = Client(spark, m)
     assert c.query(JobId("one"), frag("SELECT {x} AS x", x="it's"), str) == ["it's"]
     assert list(c.stream(JobId("two"), frag("SELECT id FROM range(5)"), int)) == list(range(5))
+    assert c.query(JobId("few"), frag("SELECT id FROM range(50)"), int, limit=2) == [0, 1]
+    c.query(JobId("busy"), frag("SELECT count(*) AS n FROM range(20000000) WHERE sqrt(id) > 5"))
+    assert m.task_ms["busy"] > 0 and m.count["two", "ok"] == 1 and m.active["two"] == 0
+    with pytest.raises(JobTimeout):
+        list(Client(spark, m, timeout_s=0.5).stream(JobId("endless"), frag("SELECT count(*) AS n FROM range(0, 100000000000L, 1, 4) WHERE sqrt(id) < 0")))
+    half = c.stream(JobId("half"), frag("SELECT id FROM range(5)"), int)
+    assert next(half) == 0
+    half.close()
+    assert m.abnormal["half", "abandoned"] == 1
+    once = []
+
+    def fails_once():
+        once.append(1)
+        if len(once) == 1:
+            raise ConnectionError
+        return 7
+
+    patient = Client(spark, m, retry=Retry(attempts=3, base_s=0.0))
+    assert patient._run(JobId("again"), "Query", fails_once, spark.range(1))[0] == 7 and len(once) == 2
     dry = c.dry_run(frag("SELECT 1L AS a"))
     assert dry.schema.names == ["a"]
     with pytest.raises(QuillError):

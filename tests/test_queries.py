@@ -41,6 +41,13 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("name", ["partition_date_single", "partition_date_multi", "partition_hour_single", "partition_hour_bucketed", "partition_month_single", "partition_multi_table_union"])
+def test_partition_range_is_pushed_down(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    pushed = [x for x in plan.split("PushedFilters: [")[1:]]
+    assert pushed and all("GreaterThanOrEqual(" in x.split("]")[0] and "LessThan(" in x.split("]")[0] for x in pushed)
+
+
 def test_partition_filter_reaches_the_scan(spark, sf, tmp_path):
     import datetime as dt
 

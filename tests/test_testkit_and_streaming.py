@@ -9,7 +9,7 @@ from quillspark.errors import SchemaMismatch
 from quillspark.functions.routines import Param, Tvf, Udf
 from quillspark.streaming.fills import Progress, fill_stream, windowed_counts
 from quillspark.tables import FilledTable
-from quillspark.testkit.checks import Check, check_fails, check_fill, check_query, check_tvf, check_type, check_udf, check_view, example_row, golden
+from quillspark.testkit.checks import Check, check_fails, check_fill, check_queries, check_query, check_tvf, check_type, check_udf, check_view, example_row, golden
 from quillspark.types import TypeOf
 
 USERS = Table(TableId.of("my-project", "ds", "users"), schema=Schema.of(Field("user_id", Type.STRING, Mode.REQUIRED), Field.struct("names", Field("first", Type.STRING, Mode.REQUIRED), Field("middle", Type.STRING))))
@@ -36,6 +36,24 @@ def test_query_without_data(spark):
     check_type(spark, frag("SELECT n FROM {l}", l=LOG.whole_table), LONG)
 
 
+def test_names_in_other_places_stay(spark):
+    longer = Table(TableId.of("my-project", "ds", "users_more"), schema=USERS.schema)
+    q = frag("SELECT u.user_id, {s} AS s FROM {u} u JOIN {m} m USING (user_id)", s=f"from {USERS.id.sql} x", u=USERS, m=longer)
+    assert check_query(spark, q, Schema.of(Field("user_id", Type.STRING), Field("s", Type.STRING))).names == ["user_id", "s"]
+    inner = View(TableId.of("my-project", "ds", "inner_view"), schema=USERS.schema, query=frag("SELECT * FROM {u}", u=USERS))
+    outer = View(TableId.of("my-project", "ds", "outer_view"), schema=USERS.schema, query=frag("SELECT * FROM {v}", v=inner))
+    check_query(spark, frag("SELECT user_id FROM {v}", v=outer), Schema.of(Field("user_id", Type.STRING)))
+
+
+def test_several_queries_by_their_union(spark):
+    one, two = frag("SELECT n FROM {l}", l=LOG.whole_table), frag("SELECT 1L AS n")
+    check_queries(spark, [one, two], Schema.of(Field("n", Type.INT64)))
+    with pytest.raises(SchemaMismatch):
+        check_queries(spark, [one, frag("SELECT 'x' AS other")], Schema.of(Field("n", Type.INT64)))
+    with pytest.raises(SchemaMismatch, match="fields"):
+        check_queries(spark, [one, frag("SELECT 1L AS n, 2L AS m")], Schema.of(Field("n", Type.INT64)))
+
+
 def test_functions(spark):
     double = Udf("kit_double", (Param("x", LONG),), frag("x * 2"), LONG)
     check_udf(spark, double, (10,), 20)
