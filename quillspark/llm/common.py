@@ -107,7 +107,7 @@ def hashed_sample(share: float, seed: int, *cols: str) -> Column:
 
 
 #: Rows that are sent to all executors at once, at most; more are joined by a shuffle.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 500_000
 
 
 def sent_if_few(rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
