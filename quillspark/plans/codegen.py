@@ -44,6 +44,8 @@ def source(d: Definition) -> str:
         lines.append(f"    clustering={d.clustering!r},")
     if isinstance(d, (Table, MaterializedView)) and d.options != type(d.options)():
         lines.append(f"    options={d.options!r},")
+    if isinstance(d, MaterializedView):
+        lines += [f"    enable_refresh={d.enable_refresh!r},", f"    refresh_interval_ms={d.refresh_interval_ms!r},"]
     if isinstance(d, (View, MaterializedView)):
         lines.append(f"    query=Frag(({d.query.sql!r},)),")
     return "\n".join([*lines, ")", ""])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillspark.queries import composition, maintenance, partitions, passing, writing
+from quillspark.queries import composition, maintenance, partitions, passing, surface, writing
 
-_MODULES = (partitions, composition, writing, maintenance, passing)
+_MODULES = (partitions, composition, writing, maintenance, passing, surface)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
