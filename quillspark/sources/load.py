@@ -56,10 +56,11 @@ def guarded(df: DataFrame, schema: Schema, partition: PartitionId | None = None)
         c = F.col(quote(f.name))
         if f.mode is Mode.REQUIRED:
             c = F.when(c.isNull(), stop("null", f.name)).otherwise(c)
-        if partition and f.name == partition.scheme.column:
-            inside = F.coalesce(partition.scheme.predicate(partition.value), F.lit(False))
-            c = F.when(~inside, stop("outside", str(partition.table_id))).otherwise(c)
         cols.append(c.alias(f.name))
+    if partition:
+        # as a filter it holds even where the partition column is not written
+        inside = F.coalesce(partition.scheme.predicate(partition.value), F.lit(False))
+        df = df.where(F.when(inside, F.lit(True)).otherwise(stop("outside", str(partition.table_id)).cast("boolean")))
     return df.select(*cols)
 
 

@@ -196,6 +196,8 @@ def test_loads_and_partitions(spark, catalog, tmp_path):
         load_rows(spark, t, [{"t": "no id", "d": "2024-01-03"}])
     with pytest.raises(QuillError, match="outside"):
         load_rows(spark, t.partition(D), [{"id": 1, "d": "2024-01-04"}])
+    with pytest.raises(QuillError, match="outside"):
+        load_rows(spark, t.partition(D), [{"id": 1, "d": "2024-01-04"}], Disposition.TRUNCATE)
     with pytest.raises(QuillError, match="not empty"):
         load_rows(spark, t.partition(D), [{"id": 3, "d": "2024-01-03"}], Disposition.EMPTY)
     load_rows(spark, t, [{"id": 4, "d": "2024-01-09"}, {"id": 5, "d": "2024-01-20"}, {"id": 6}])
