@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from contextlib import contextmanager
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.errors import DuplicateKeys, QuillError, RequiredNull, SchemaMismatch
@@ -134,7 +134,7 @@ def write(df: DataFrame, destination: Table | PartitionId, disposition: Disposit
     df = guarded(align(df, table.schema), table.schema, None if sharded else partition)
     with _told():
         if sharded:
-            _write_whole(df, partition.table_id.sql, disposition, spark)
+            _write_whole(df, partition.table_id, disposition, spark)
         else:
             _write(df, table, partition, disposition, spark)
 
@@ -149,7 +149,9 @@ def _write(df: DataFrame, table: Table, partition: PartitionId | None, dispositi
     if disposition is not Disposition.TRUNCATE:
         df.write.insertInto(table.id.sql)
     elif partition is None:
-        df.write.insertInto(table.id.sql, overwrite=True)
+        # Spark empties a table before it writes; what fails must fail before that
+        with staged(df, table.id, "writing") as rows:
+            rows.write.insertInto(table.id.sql, overwrite=True)
     elif isinstance(partition.scheme, IntRange) and partition.scheme.window(partition.value) != (partition.value, partition.value):
         # a window of several values: those that the new rows lack go too
         column = quote(partition.scheme.column)
@@ -157,19 +159,24 @@ def _write(df: DataFrame, table: Table, partition: PartitionId | None, dispositi
         with staged(df, table.id, "writing") as rows:
             _replace(rows, table, stale)
     else:
-        point = literal(getattr(partition.scheme, "point", lambda v: v)(partition.value))
-        view = f"__quill_write_{uuid.uuid4().hex}"
-        df.createOrReplaceTempView(view)
-        rest = ", ".join(quote(c) for c in df.columns if c != partition.scheme.column)
-        spark.sql(f"INSERT OVERWRITE TABLE {table.id.sql} PARTITION ({quote(partition.scheme.column)} = {point}) SELECT {rest} FROM {view}")
-        spark.catalog.dropTempView(view)
+        # a dynamic overwrite replaces the partition when all is written; without rows it replaces nothing
+        counted = Observation(f"written-{uuid.uuid4().hex}")
+        with _dynamic(spark):
+            df.observe(counted, F.count(F.lit(1)).alias("n")).write.insertInto(table.id.sql, overwrite=True)
+        if not counted.get["n"]:
+            point = literal(getattr(partition.scheme, "point", lambda v: v)(partition.value))
+            spark.sql(f"ALTER TABLE {table.id.sql} DROP IF EXISTS PARTITION ({quote(partition.scheme.column)} = {point})")
 
 
-def _write_whole(df: DataFrame, name: str, disposition: Disposition, spark: SparkSession) -> None:
+def _write_whole(df: DataFrame, id: TableId, disposition: Disposition, spark: SparkSession) -> None:
+    name = id.sql
     if disposition is Disposition.EMPTY and spark.catalog.tableExists(name) and spark.table(name).take(1):
         raise QuillError(f"{name} is not empty")
-    if spark.catalog.tableExists(name):
-        df.write.insertInto(name, overwrite=disposition is Disposition.TRUNCATE)
+    if spark.catalog.tableExists(name) and disposition is Disposition.TRUNCATE:
+        with staged(df, id, "writing") as rows:
+            rows.write.insertInto(name, overwrite=True)
+    elif spark.catalog.tableExists(name):
+        df.write.insertInto(name)
     else:
         df.write.saveAsTable(name)
 

@@ -198,6 +198,11 @@ def test_loads_and_partitions(spark, catalog, tmp_path):
         load_rows(spark, t.partition(D), [{"id": 1, "d": "2024-01-04"}])
     with pytest.raises(QuillError, match="outside"):
         load_rows(spark, t.partition(D), [{"id": 1, "d": "2024-01-04"}], Disposition.TRUNCATE)
+    for where in (t, t.partition(D)):
+        with pytest.raises(RequiredNull):
+            load_rows(spark, where, [{"d": "2024-01-03"}], Disposition.TRUNCATE)
+    assert t.frame(spark).count() == 2  # a write that fails leaves what was there
+    write(t.frame(spark).limit(0), t.partition(dt.date(2024, 5, 5)), Disposition.TRUNCATE)
     with pytest.raises(QuillError, match="not empty"):
         load_rows(spark, t.partition(D), [{"id": 3, "d": "2024-01-03"}], Disposition.EMPTY)
     load_rows(spark, t, [{"id": 4, "d": "2024-01-09"}, {"id": 5, "d": "2024-01-20"}, {"id": 6}])
@@ -222,6 +227,8 @@ def test_other_schemes(spark, catalog, sf):
     values = [p.value for p, _ in list_partitions(spark, r)]
     assert values == sorted(values, reverse=True) and max(values) < 50
     write(spark.createDataFrame([("only", 12)], "name string, part long"), r.partition(15), Disposition.TRUNCATE)
+    write(spark.createDataFrame([], "name string, part long"), r.partition(25), Disposition.TRUNCATE)
+    assert r.frame(spark).where("part between 20 and 29").count() == 0
     assert r.frame(spark).where("part between 10 and 19").count() == 1
     s = Table(TableId(DS, "shards"), Sharded(), Schema.of(Field("x", Type.INT64)))
     for k in (1, 2):
