@@ -21,6 +21,7 @@ else, nothing can be learned: every score is the prior of 0.5, so none is predic
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, positive_hash, sample_bound, text_batches
 
+log = logging.getLogger(__name__)
+
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE, _STOP, _SHOUT, _BAR, _MARK = range(9)
@@ -96,6 +99,10 @@ class Model:
     shift: float
     prior: float
     learned: bool = True
+    #: Rows that it was trained on: trusted positives, known negatives, unlabelled ones.
+    positives: int = 0
+    negatives: int = 0
+    unlabelled: int = 0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = ((expand(x) - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
@@ -215,7 +222,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = rows.toPandas().sort_values(["h", "doc_id"])
     found = rows["label"].to_numpy(dtype=int)
     weight = rows["n"].to_numpy(dtype=float) / np.array([shares[k] for k in found.tolist()]).reshape(-1)
-    return fit(np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), found, weight)
+    model = fit(np.array(rows["x"].tolist()).reshape(-1, N_FEATURES), found, weight)
+    model.positives, model.negatives, model.unlabelled = (int((found == k).sum()) for k in (1, 0, -1))
+    told = f"{model.positives} positives, {model.negatives} known negatives and {model.unlabelled} unlabelled rows"
+    if model.learned:
+        log.info("trained on %s, prior %.3f", told, model.prior)
+    else:
+        log.warning("nothing could be learned from %s: every score is the prior", told)
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:

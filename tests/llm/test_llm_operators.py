@@ -150,7 +150,7 @@ def test_pu_risk_finds_the_prior_and_the_classes():
     assert np.mean((one @ w > 0) == (np.arange(4000) < 3000)) > 0.97
 
 
-def test_quality_uses_few_labels_among_many_documents(spark):
+def test_quality_uses_few_labels_among_many_documents(spark, caplog):
     rng = random.Random(8)
     good = lambda: " ".join(rng.choice(["meadow", "river", "stone", "winter", "quiet", "house"]) for _ in range(30)) + "."
     bad = lambda: "BUY!!! " * 9 + str(rng.randrange(10**6)) + " | $$$ " * 9
@@ -160,11 +160,12 @@ def test_quality_uses_few_labels_among_many_documents(spark):
     labels = spark.createDataFrame([(60 * k + k % 2, k % 2) for k in range(100)], "doc_id long, quality int")
     model = quality.train(docs, labels, sample_rows=200)
     scores = model.score(np.array([quality.statistics(t) for _, t in rows]))
+    assert model.learned and model.positives > 20 and model.positives + model.negatives + model.unlabelled <= 700
     assert model.learned and scores[1::2].min() > 0.7 > scores[::2].max()
     assert abs(model.prior - 0.5) < 0.15
     none = quality.report(docs, labels.where("quality = 0"))
     assert {tuple(r) for r in none.select("score", "predicted").distinct().collect()} == {(0.5, 0)}
-    assert quality.keep_good(docs, labels.limit(0)).count() == 6000
+    assert quality.keep_good(docs, labels.limit(0)).count() == 6000 and "nothing could be learned from 0 positives" in caplog.text
 
 
 def plain_statistics(text):
