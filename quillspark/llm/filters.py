@@ -28,8 +28,8 @@ def may_repeat(index: DataFrame, most: int = FILTER_BITS) -> Callable[[Column],
     places = twice.select(F.explode(F.array(*_places(F.col("digest"), bits))).alias("b"))
     words = places.groupBy(F.expr("b div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("x"))
     table = np.zeros(bits // 32, dtype=np.uint32)
-    for row in words.toLocalIterator():  # bounded by the size of the filter
-        table[row["w"]] = row["x"]
+    found = words.toArrow()  # columns of numbers, at most as many as the largest filter has words
+    table[found["w"].to_numpy()] = found["x"].to_numpy().astype(np.uint32)
     sent = index.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
