@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not (sc.master or "").startswith("local["):
+        if sc.master != "local" and not (sc.master or "").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = sc.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
     if sc.getCheckpointDir() is None:

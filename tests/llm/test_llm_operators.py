@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspark.llm import common, decontaminate, exact_dedup, langid, licenses, packing, pii, quality, sharding, simhash, store, tokens
+from quillspark.llm import common, decontaminate, exact_dedup, filters, langid, licenses, packing, pii, quality, sharding, simhash, store, tokens
 from quillspark.llm.queries import BYTE_TOKENIZER, ORACLES, QUERIES, WORD_TOKENIZER
 from quillspark.llm.tokens import Encoder, encoder
 
@@ -620,6 +620,16 @@ def test_equal_digests_of_unequal_texts(docs):
     assert all(v <= k for k, v in least.items())
 
 
+@pytest.mark.parametrize("most", [1 << 10, 1 << 21, filters.FILTER_BITS])
+def test_filter_has_all_that_repeat(spark, most):
+    index = spark.range(60_000).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("digest"), (F.when(F.col("id") % 3 == 0, 2).otherwise(1)).alias("n"))
+    found = index.withColumn("may", filters.may_repeat(index, most)(F.col("digest"))).groupBy("n", "may").count().collect()
+    counts = {(r["n"], r["may"]): r["count"] for r in found}
+    assert (2, False) not in counts and counts[2, True] == 20_000
+    assert counts.get((1, True), 0) < (0.3 if most > 1 << 15 else 1.1) * 40_000
+    assert not spark.range(1).select(filters.may_repeat(index.where("n = 1"))(F.lit("x")).alias("m")).first()["m"]
+
+
 def test_index(spark, docs):
     index = exact_dedup.Index(spark, common.shared_path(spark, "index"))
     assert index.entries().count() == 0 and index.lookup(["x"]).count() == 0
@@ -880,6 +890,23 @@ def test_sequences_on_a_larger_table(spark):
     assert n <= 1.01 * pieces.agg(F.sum("length")).first()[0] / 2048
 
 
+def test_very_long_texts(spark, benchmark):
+    """Texts of megabytes, on one line and on many, beside short ones."""
+    item = benchmark.where("text IS NOT NULL").first()
+    prose = "the quick brown fox jumps over a lazy dog by the river "
+    long = {1: prose * 60_000, 2: (prose + "\n") * 60_000 + item["text"], 3: "x" * 3_000_000, 4: prose, 5: prose * 60_000}
+    df = spark.createDataFrame([(k, t, "en") for k, t in long.items()], "doc_id long, text string, lang string")
+    rows = {r[0]: tuple(r) for r in decontaminate.report(df, benchmark.where(F.col("item_id") == item["item_id"])).collect()}
+    assert rows[2][3] == 1 and rows[1][2] == 0 and rows[3][1] == 1
+    marks = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.report(df).collect()}
+    assert marks[1] == marks[5] and marks[3][0] == f"{xxhash.xxh64_intdigest(long[3].encode(), 42):016x}"
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.report(df).collect()} == {1: 5, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert {r["lang_pred"] for r in langid.report(df).collect()} == {"en"}
+    assert all(0 <= r["score"] <= 1 for r in quality.report(df, spark.createDataFrame([(1, 1), (4, 0)], "doc_id long, quality int")).collect())
+    sizes = packing.pack(packing.token_pieces(df, BYTE_TOKENIZER)).groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes == 2048
+
+
 def test_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
     assert public_tokenizers.path("word_bpe_49k.json") == WORD_TOKENIZER
