@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable
 from contextlib import contextmanager
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from quillspark.ids import TableId, quote
 from quillspark.literals import literal
 from quillspark.operators.merge import TWICE, in_partitions, upsert
 from quillspark.operators.scan import scan_partition
-from quillspark.partition import IntRange, PartitionId, Sharded
+from quillspark.partition import IntRange, PartitionId, Sharded, Timed
 from quillspark.tables import Fill, Table
 from quillspark.types import Mode, Schema
 
@@ -45,8 +46,13 @@ def align(df: DataFrame, schema: Schema) -> DataFrame:
 _MARK = "quillspark:"
 
 
-def guarded(df: DataFrame, schema: Schema, partition: PartitionId | None = None) -> DataFrame:
-    """``df`` that fails while it is written, in the same pass, on a null in a required column or a row of another partition."""
+def _point(partition: PartitionId):
+    """The value that the partition column holds."""
+    return getattr(partition.scheme, "point", lambda v: v)(partition.value)
+
+
+def guarded(df: DataFrame, schema: Schema, *partitions: PartitionId) -> DataFrame:
+    """``df`` that fails while it is written, in the same pass, on a null in a required column or a row of no given partition."""
 
     def stop(kind: str, what: str) -> Column:
         return F.raise_error(F.lit(f"{_MARK}{kind}:{what};"))
@@ -57,10 +63,11 @@ def guarded(df: DataFrame, schema: Schema, partition: PartitionId | None = None)
         if f.mode is Mode.REQUIRED:
             c = F.when(c.isNull(), stop("null", f.name)).otherwise(c)
         cols.append(c.alias(f.name))
-    if partition:
+    if partitions:
         # as a filter it holds even where the partition column is not written
-        inside = F.coalesce(partition.scheme.predicate(partition.value), F.lit(False))
-        df = df.where(F.when(inside, F.lit(True)).otherwise(stop("outside", str(partition.table_id)).cast("boolean")))
+        first = partitions[0]
+        inside = first.scheme.predicate(first.value) if len(partitions) == 1 else in_partitions(first.scheme.column, [_point(p) for p in partitions])
+        df = df.where(F.when(F.coalesce(inside, F.lit(False)), F.lit(True)).otherwise(stop("outside", str(first.table_id)).cast("boolean")))
     return df.select(*cols)
 
 
@@ -131,7 +138,7 @@ def write(df: DataFrame, destination: Table | PartitionId, disposition: Disposit
     partition = destination if isinstance(destination, PartitionId) else None
     table: Table = partition.table if partition else destination
     sharded = partition is not None and isinstance(partition.scheme, Sharded)
-    df = guarded(align(df, table.schema), table.schema, None if sharded else partition)
+    df = guarded(align(df, table.schema), table.schema, *([partition] if partition and not sharded else []))
     with _told():
         if sharded:
             _write_whole(df, partition.table_id, disposition, spark)
@@ -159,13 +166,46 @@ def _write(df: DataFrame, table: Table, partition: PartitionId | None, dispositi
         with staged(df, table.id, "writing") as rows:
             _replace(rows, table, stale)
     else:
-        # a dynamic overwrite replaces the partition when all is written; without rows it replaces nothing
-        counted = Observation(f"written-{uuid.uuid4().hex}")
-        with _dynamic(spark):
-            df.observe(counted, F.count(F.lit(1)).alias("n")).write.insertInto(table.id.sql, overwrite=True)
-        if not counted.get["n"]:
-            point = literal(getattr(partition.scheme, "point", lambda v: v)(partition.value))
-            spark.sql(f"ALTER TABLE {table.id.sql} DROP IF EXISTS PARTITION ({quote(partition.scheme.column)} = {point})")
+        _overwrite(df, table, [partition])
+
+
+def _overwrite(df: DataFrame, table: Table, partitions: list[PartitionId]) -> None:
+    """Replace ``partitions`` when all of ``df``, which has the catalog's columns, is written."""
+    # a dynamic overwrite replaces the partitions that it has rows of; those without rows are dropped
+    spark, column = df.sparkSession, quote(table.partitioning.column)
+    written = Observation(f"written-{uuid.uuid4().hex}")
+    with _dynamic(spark):
+        df.observe(written, F.collect_set(F.col(column).cast("string")).alias("points")).write.insertInto(table.id.sql, overwrite=True)
+    points = [literal(_point(p)) for p in partitions]
+    names = spark.range(1).select(F.array(*[F.expr(p).cast(df.schema[table.partitioning.column].dataType).cast("string") for p in points])).first()[0]
+    have = set(written.get["points"])
+    for point, name in zip(points, names, strict=True):
+        if name not in have:
+            spark.sql(f"ALTER TABLE {table.id.sql} DROP IF EXISTS PARTITION ({column} = {point})")
+
+
+def _in_one_write(partitions: list[PartitionId]) -> Table:
+    """Their table, where one dynamic overwrite can replace them all."""
+    table, scheme = partitions[0].table, partitions[0].scheme
+    if any(p.table.id != table.id for p in partitions):
+        raise TypeError("partitions of several tables cannot be written together")
+    if not isinstance(scheme, (Timed, IntRange)) or isinstance(scheme, IntRange) and any(scheme.window(p.value) != (p.value, p.value) for p in partitions):
+        raise TypeError(f"partitions of {table.id} are written one by one")
+    return table
+
+
+def write_partitions(df: DataFrame, partitions: list[PartitionId]) -> None:
+    """Replace some partitions of one table by the rows of ``df`` in one write, however many they are.
+
+    A row of another partition makes it fail before anything is replaced. A partition
+    without rows ends empty. Shards and windows of several values are left to ``write``.
+    """
+    if not partitions:
+        return
+    table = _in_one_write(partitions)
+    rows = guarded(align(df, table.schema), table.schema, *partitions)
+    with _told():
+        _overwrite(rows.select(*[quote(c) for c in df.sparkSession.table(table.id.sql).columns]), table, partitions)
 
 
 def _write_whole(df: DataFrame, id: TableId, disposition: Disposition, spark: SparkSession) -> None:
@@ -235,6 +275,15 @@ def run_fill(spark: SparkSession, fill: Fill, disposition: Disposition = Disposi
     write(fill.query.run(spark), fill.destination, disposition)
 
 
+def run_fills_together(spark: SparkSession, fills: list[Fill]) -> None:
+    """Make several partitions of one table, each from its query, in one write: a backfill is one job, and all of it or none takes effect."""
+    if not fills:
+        return
+    table = _in_one_write([f.destination for f in fills])
+    own = [guarded(align(f.query.run(spark), table.schema), table.schema, f.destination) for f in fills]
+    write_partitions(reduce(DataFrame.unionByName, own), [f.destination for f in fills])
+
+
 def merge_into(source: DataFrame | PartitionId, target: Table | PartitionId, keys: list[str]) -> None:
     """Upsert into a table in the catalog, which may not be the source's own.
 

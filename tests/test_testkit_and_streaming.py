@@ -95,3 +95,61 @@ def test_streams(spark, sf, tmp_path):
     time.sleep(1)
     spark.streams.removeListener(listener)
     assert listener.batches
+
+
+def test_many_partitions_in_one_write(spark):
+    import datetime as dt
+
+    import pytest
+
+    from quillspark import Day, Field, IntRange, Month, Schema, Sharded, Table, TableId, Type, frag
+    from quillspark.errors import QuillError
+    from quillspark.literals import YearMonth
+    from quillspark.plans.catalog import Catalog
+    from quillspark.sources.load import run_fills_together, write_partitions
+    from quillspark.tables import FilledTable
+
+    id = TableId.of("my-project", "many", "rows")
+    Catalog(spark).create_dataset(id.dataset)
+
+    def fresh(name, scheme, type):
+        table = Table(id.with_table(name), scheme, Schema.of(Field("v", Type.INT64), Field("d", type)))
+        Catalog(spark).create_table(table)
+        return table
+
+    def rows(table):
+        return sorted((r["v"], str(r["d"])) for r in table.frame(spark).collect())
+
+    days = [dt.date(2024, 1, k) for k in (1, 2, 3)]
+    table = fresh("by_day", Day("d"), Type.DATE)
+    of = lambda *found: spark.createDataFrame(list(found), "v long, d date")
+    write_partitions(of((1, days[0]), (2, days[1]), (3, days[2])), [table.partition(d) for d in days])
+    # the third day stays, the second one has no rows now
+    write_partitions(of((4, days[0]), (5, days[0])), [table.partition(d) for d in days[:2]])
+    assert rows(table) == [(3, "2024-01-03"), (4, "2024-01-01"), (5, "2024-01-01")]
+    with pytest.raises(QuillError, match="outside"):
+        write_partitions(of((6, days[0]), (7, days[2])), [table.partition(d) for d in days[:2]])
+    with pytest.raises(QuillError, match="outside"):
+        write_partitions(of((6, days[0]), (7, None)), [table.partition(d) for d in days])
+    write_partitions(of(), [])
+    assert len(rows(table)) == 3
+
+    # each fill may only have rows of its own day
+    fills = FilledTable("f", table, lambda d: frag(f"SELECT 10L AS v, DATE '{d}' AS d"))
+    run_fills_together(spark, [fills.with_date(d) for d in days])
+    assert rows(table) == [(10, str(d)) for d in days]
+    wrong = FilledTable("f", table, lambda d: frag("SELECT 11L AS v, DATE '2024-01-01' AS d"))
+    with pytest.raises(QuillError, match="outside"):
+        run_fills_together(spark, [wrong.with_date(d) for d in days])
+    assert rows(table) == [(10, str(d)) for d in days]
+
+    months = fresh("by_month", Month("d"), Type.DATE)
+    ids = [months.partition(YearMonth(2024, m)) for m in (1, 2)]
+    write_partitions(of((1, dt.date(2024, 1, 1)), (2, dt.date(2024, 2, 1))), ids)
+    write_partitions(of((3, dt.date(2024, 2, 1))), ids)
+    assert rows(months) == [(3, "2024-02-01")]
+    windows = Table(id, IntRange("d", 0, 100, 10), Schema.of(Field("v", Type.INT64), Field("d", Type.INT64)))
+    shards = Table(id, Sharded(), Schema.of(Field("v", Type.INT64)))
+    for parts in ([windows.partition(10)], [shards.partition(days[0])], [table.partition(days[0]), months.partition(YearMonth(2024, 1))]):
+        with pytest.raises(TypeError):
+            write_partitions(of(), parts)
